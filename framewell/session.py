@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def reach(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it; a cluster installs it or gets it with ``--py-files``."""
+    place, held = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if place not in held.get("PYTHONPATH", "").split(os.pathsep):
+        held["PYTHONPATH"] = os.pathsep.join(filter(None, [place, held.get("PYTHONPATH")]))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return a frame that reads it."""
     checkpoint_dir(df.sparkSession)
