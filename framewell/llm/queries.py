@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewell.llm import bpe
+from framewell.llm import bpe, linededup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,20 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query(r"""
+WITH l AS (
+  SELECT r, doc_id, p, lines[p] AS line,
+         translate(trim(lines[p], chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS p
+        FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+f AS (SELECT k, min(doc_id) AS first FROM l WHERE length(k) >= 10 GROUP BY k)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (drop) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT drop), '')) AS kept_sha256
+FROM (SELECT l.*, coalesce(doc_id > first, false) AS drop FROM l LEFT JOIN f USING (k)) GROUP BY r""")
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Drop every line that an earlier document holds; counts, and a digest of the kept text."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    kept = linededup.dedup(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
