@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewell.llm import bpe, linededup
+from framewell.llm import bpe, labelled, linededup, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,17 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     kept = linededup.dedup(docs)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def quality_scores(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents with the quality score that is learned from the folds 0 and 2 of 3."""
+    model = quality.fit(docs, table(spark, folder, "labels"), labelled.fold(F.col("doc_id"), 3) != 1)
+    return quality.score(docs, model)
+
+
+@query()
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every text."""
+    scored = quality_scores(spark, table(spark, folder, "documents").select("doc_id", "text"), folder)
+    held_out = F.coalesce(labelled.fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
