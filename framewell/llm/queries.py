@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewell.llm import bpe, labelled, linededup, quality
+from framewell.llm import bpe, labelled, langid, linededup, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,12 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     scored = quality_scores(spark, table(spark, folder, "documents").select("doc_id", "text"), folder)
     held_out = F.coalesce(labelled.fold(F.col("doc_id"), 3) == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query()
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every text, learned from the folds 1 to 4 of 5."""
+    docs, fold = table(spark, folder, "documents"), labelled.fold(F.col("doc_id"), 5)
+    model = langid.fit(docs.where(fold != 0))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
