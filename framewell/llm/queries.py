@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewell.llm import bpe, labelled, langid, linededup, quality
+from framewell.llm import bpe, labelled, langid, linededup, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,12 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.fit(docs.where(fold != 0))
     found = langid.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+@query()
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score and toxic spans of every text, learned from the folds 1 to 4 of 5."""
+    docs, fold = table(spark, folder, "documents").select("doc_id", "text"), labelled.fold(F.col("doc_id"), 5)
+    model = toxicity.fit(docs, table(spark, folder, "labels"), fold != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
