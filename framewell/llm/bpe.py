@@ -27,7 +27,9 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -68,13 +70,29 @@ class Bpe:
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self.rank[vocab[a], vocab[b]] = r
             self.parts.setdefault(vocab[a + b], (r, vocab[a], vocab[b]))
-        self.longest = max(map(len, self.id))
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pattern = regex.compile(WORD)
-        self.text = self.bytes | {i: s.encode() for s, i in self.added.items()}
+        text = self.bytes | {i: s.encode() for s, i in self.added.items()}
+        self.text = [text.get(i, b"") for i in range(max(text) + 1)]
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
-        self.words: dict[str, array] = {}
+        #: Tokens that their own bytes encode to; no other token is ever made.
+        self.made = {b: i for b, i in self.id.items() if self.reachable(i)}
+        self.longest = max(map(len, self.made))
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache of words: the row of each word, and the rows' tokens one after the other."""
+        self.rows: dict[str, int] = {}
+        self.tokens, self.ends = array("i"), array("q", [0])
+        if self.added:
+            for s, i in self.added.items():
+                self.keep(s, [i])
+
+    def keep(self, word: str, ids: list[int]) -> None:
+        self.rows[word] = len(self.rows)
+        self.tokens.extend(ids)
+        self.ends.append(len(self.tokens))
 
     def apart(self, a: int, b: int, inner: int = NEVER) -> bool:
         """Whether no merge ever spans the boundary of a and b before the one of rank ``inner``."""
@@ -102,67 +120,75 @@ class Bpe:
             known = self.whole[t] = not made or self.reachable(made[1]) and self.reachable(made[2]) and self.apart(made[1], made[2], made[0])
         return known
 
-    def stable(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.apart(a, b)
-        return known
-
     def traverse(self, words: Iterable[bytes]) -> Iterator[list[int]]:
         """Encodings of sorted words, each prefix shared with the word before being kept."""
-        ids, length, stable = self.id, self.longest, self.stable
+        made, length, pairs, text = self.made, self.longest, self.pairs, self.text
+        if len(pairs) > 1_000_000:
+            pairs.clear()
         last: list[int] = [-1]  # last[i]: last token of the first i bytes
         before = b""
         for word in words:
             n, keep = len(word), 0
-            if before:
-                for keep, (x, y) in enumerate(zip(before, word)):  # noqa: B007, B905
-                    if x != y:
-                        break
-                else:
-                    keep = min(len(before), n)
+            for x, y in zip(before, word):  # noqa: B905
+                if x != y:
+                    break
+                keep += 1
             del last[keep + 1 :]
             for i in range(keep + 1, n + 1):
-                for j in range(max(0, i - length), i):
-                    t = ids.get(word[j:i])
-                    if t is not None and (stable(last[j], t) if j else self.reachable(t)) and (not j or self.reachable(t)):
-                        last.append(t)
-                        break
+                for j in range(i - length if i > length else 0, i):
+                    t = made.get(word[j:i])
+                    if t is not None:
+                        if not j:
+                            break
+                        pair = (last[j], t)
+                        fits = pairs.get(pair)
+                        if fits is None:
+                            fits = pairs[pair] = self.apart(*pair)
+                        if fits:
+                            break
+                last.append(t)
             before, out, i = word, [], n
             while i:
-                out.append(last[i])
-                i -= len(self.bytes[last[i]])
+                t = last[i]
+                out.append(t)
+                i -= len(text[t])
             out.reverse()
             yield out
 
     def learn(self, words: set[str]) -> None:
-        """Add the encodings of words to the cache."""
-        if len(self.words) + len(words) > CACHE:
-            self.words.clear()
-        new = sorted((w.encode(), w) for w in words if w not in self.words)
-        for (_, w), ids in zip(new, self.traverse(b for b, _ in new), strict=True):
-            self.words[w] = array("i", ids)
-
-    def encode_batch(self, texts: list[str | None]) -> list[array]:
-        """Token ids of each text; distinct words of the batch go through one traversal."""
-        split, find = self.specials, self.pattern.findall
+        """Add the encodings of words to the cache. Code point order is the order of UTF-8 bytes."""
+        if len(self.rows) + len(words) > CACHE:
+            self.forget()
+        new = sorted(w for w in words if w not in self.rows)
+        for w, ids in zip(new, self.traverse(w.encode() for w in new), strict=True):
+            self.keep(w, ids)
+
+    def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts one after the other, and where each text's start and the last end; distinct words go through one traversal."""
+        split, find, added = self.specials, self.pattern.findall, self.added
         pieces = []
         for x in texts:
             x = x or ""
-            if split and any(s in x for s in self.added):
-                pieces.append([w for p in split.split(x) for w in ([p] if p in self.added else find(p))])
+            if split and any(s in x for s in added):
+                pieces.append([w for p in split.split(x) for w in ([p] if p in added else find(p))])
             else:
                 pieces.append(find(x))
-        self.learn({w for p in pieces for w in p if w not in self.added})
-        get = self.words | {s: array("i", [i]) for s, i in self.added.items()} if self.added and any(w in self.added for p in pieces for w in p) else self.words
-        return [array("i", chain.from_iterable(map(get.__getitem__, p))) for p in pieces]
-
-    def decode_batch(self, ids: Iterable[Iterable[int]]) -> list[str]:
+        self.learn(set(chain.from_iterable(pieces)))
+        n_words = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        rows = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(pieces)), np.int64, n_words.sum())
+        ends = np.array(self.ends)
+        sizes = (ends[1:] - ends[:-1])[rows]
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        ids = np.array(self.tokens, np.int32)[np.repeat(ends[rows] - starts[:-1], sizes) + np.arange(starts[-1])]
+        return ids, starts[np.concatenate([[0], np.cumsum(n_words)])]
+
+    def decode_batch(self, ids: np.ndarray, starts: np.ndarray) -> list[str]:
         """Texts of token ids; bytes that are no UTF-8 become U+FFFD, ids that are no tokens vanish."""
         text = self.text
-        return [b"".join([text[i] for i in x if i in text]).decode("utf-8", errors="replace") for x in ids]
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(text):
+            text = dict(enumerate(text)) | {int(i): b"" for i in ids if not 0 <= i < len(text)}
+        flat = list(map(text.__getitem__, ids.tolist()))
+        return [b"".join(flat[a:b]).decode("utf-8", errors="replace") for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -201,14 +227,10 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids",
         bpe = vocabulary(path)
         for batch in batches:
             for start, texts in chunks(batch.column(batch.schema.get_field_index(text))):
-                found = bpe.encode_batch(texts)
-                ends = array("i", [0])
-                for x in found:
-                    ends.append(ends[-1] + len(x))
-                flat = array("i", chain.from_iterable(found))
+                found, starts = bpe.encode_batch(texts)
                 columns = [batch.column(batch.schema.get_field_index(c)).slice(start, len(texts)) for c in rest]
-                columns += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), pa.array([len(x) for x in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(bpe.decode_batch(found), pa.string())] if decoded else []), names=rest + list(new))
+                columns += [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(found, pa.int32())), pa.array(np.diff(starts), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(bpe.decode_batch(found, starts), pa.string())] if decoded else []), names=rest + list(new))
 
     return df.mapInArrow(run, _with(df.schema, **new))
 
@@ -221,7 +243,9 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", decoded: str = "dec
         bpe = vocabulary(path)
         for batch in batches:
             columns = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
-            texts = bpe.decode_batch(x or [] for x in columns[ids].to_pylist())
+            given = pc.fill_null(columns[ids], [])
+            starts = np.concatenate([[0], np.cumsum(pc.list_value_length(given).to_numpy(zero_copy_only=False))])
+            texts = bpe.decode_batch(given.flatten().to_numpy(zero_copy_only=False), starts)
             yield pa.RecordBatch.from_arrays([columns[c] for c in rest] + [pa.array(texts, pa.string())], names=[*rest, decoded])
 
     return df.mapInArrow(run, _with(df.schema, **{decoded: T.StringType()}))
