@@ -1,0 +1,37 @@
+"""Connected components of an edge list, without gathering a component anywhere."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from framewell.session import cut_lineage
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """For each u the least of its neighbours v and itself."""
+    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root) of each node that an edge names; root is the least node of its component.
+
+    Alternates large stars (larger neighbours move to a node's least neighbour)
+    and small stars (smaller ones do) until the edges are stars. Each round is
+    written to the checkpoint folder; minima are aggregated before they are shuffled.
+    """
+    now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    now = cut_lineage(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = None
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        smaller = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        met = smaller.join(_least(smaller), "u")
+        small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(met.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        now = cut_lineage(small)
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == before:
+            break
+        before = state
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewell.llm import bpe, labelled, langid, linededup, quality, toxicity
+from framewell.llm import bpe, labelled, langid, linededup, nearcopies, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,9 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, folder, "labels"), fold != 0)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
+@query()
+def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return nearcopies.classes(table(spark, folder, "documents").select("doc_id", "text"))
