@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewell.llm import bpe, labelled, langid, linededup, nearcopies, quality, toxicity
+from framewell.llm import bpe, decontamination, labelled, langid, linededup, nearcopies, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,11 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Class and number of links of every document."""
     return nearcopies.classes(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query()
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item that a document holds, with its place and distance."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.leaks(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
