@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewell.llm import bpe, decontamination, labelled, langid, linededup, nearcopies, quality, toxicity
+from framewell.llm import bpe, decontamination, labelled, langid, linededup, nearcopies, neighbours, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,10 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontamination.leaks(docs, table(spark, folder, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+@query()
+def op8_ann(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest other vectors of every fiftieth vector."""
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.search(neighbours.build(vectors), vectors.where(F.col("vec_id") % 50 == 0), 5)
