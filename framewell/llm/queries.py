@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewell.llm import bpe, decontamination, labelled, langid, linededup, nearcopies, neighbours, quality, toxicity
+from framewell.llm import bpe, decontamination, labelled, langid, linededup, nearcopies, neighbours, personal, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,17 @@ def op8_ann(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest other vectors of every fiftieth vector."""
     vectors = table(spark, folder, "embeddings")
     return neighbours.search(neighbours.build(vectors), vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
+@query()
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every text: counts and a digest of the rules' spans, and all spans."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = personal.find(docs, personal.fit(docs))
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    kinds = F.transform("base_spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in personal.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
