@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewell.llm import bpe, decontamination, labelled, langid, linededup, nearcopies, neighbours, personal, quality, toxicity
+from framewell.llm import bpe, decontamination, labelled, langid, linededup, lmscore, nearcopies, neighbours, personal, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +131,10 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     kinds = F.transform("base_spans", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in personal.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query()
+def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Pseudo-log-likelihood of every text."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lmscore.score(docs, lmscore.fit(docs)).drop("text")

@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 #: Bytes of text that are handled together; one longer text is handled alone.
 BYTES = 6_000_000
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Words(NamedTuple):
@@ -67,7 +68,8 @@ def only(words: Words, keep: np.ndarray) -> Words:
 
 def bare(word: str) -> str:
     """Lower case without what isn't a letter or digit at both ends."""
-    return EDGE.sub("", word.lower())
+    plain = word.lower().strip(MARKS)
+    return plain if not plain or plain[0].isalnum() and plain[-1].isalnum() else EDGE.sub("", plain)
 
 
 def normal(words: Words) -> Words:
