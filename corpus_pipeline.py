@@ -1,28 +1,58 @@
-"""Clean a document table: each stage reads what the one before kept."""
+"""Clean a document table: each stage reads what the one before kept.
+
+Nulls: a null text counts as empty; a null doc_id stays through all stages.
+Repeated rows are dropped by the near-duplicate stage, but for texts without
+words. Empty tables pass. Columns beyond those of documents pass unchanged.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framewell.llm import bpe, decontamination, labelled, linededup, nearcopies, quality
+from framewell.llm.queries import table, tokenizer_path
+from framewell.session import checkpoint_dir, reach
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from the folds 0 and 2 of 3, doesn't reject."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), labelled.fold(F.col("doc_id"), 3) != 1)
+    return quality.score(docs, model, out="_quality").where("_quality >= 0.5").select(*docs.columns)
+
 
-from framewell.llm import bpe
-from framewell.llm.queries import tokenizer_path
-from framewell.session import checkpoint_dir
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less the lines that an earlier document holds; n_chars follows."""
+    kept = linededup.dedup(docs, n_lines="_lines", n_dropped="_dropped").drop("_lines", "_dropped")
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else kept
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return nearcopies.dedup(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each kept text, and their decoding."""
+    """Token ids of each kept text, their count, and their decoding."""
     return bpe.encode(docs, tokenizer_path(), decoded="decoded")
 
 
-STAGES = [("bpe", encode)]
+STAGES = [("quality", keep_quality), ("line_dedup", drop_lines), ("minhash", drop_copies), ("decontamination", drop_leaks), ("bpe", encode)]
+#: No SQL for the classifier, the near-duplicate classes and the encoding; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each result is written to the shared folder and read again."""
-    import uuid
-
-    docs, root = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
+    reach(spark)
+    docs, root = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{root}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
