@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framewell.functions import numbers, text
+from framewell.operators import components, edges, fingerprint, groups, records
+
+#: Suppliers are numbered from here where they share ids with customers.
+SUPPLIERS = 1_000_000_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -53,3 +58,398 @@ SELECT cluster, ligand, sx, sy, sz, count(*) AS denticity FROM contacts GROUP BY
 def incidence_denticity(spark: SparkSession, folder: str) -> DataFrame:
     """Count the contacts of each (cluster, ligand, shift)."""
     return contacts(spark, folder).groupBy("cluster", "ligand", "sx", "sy", "sz").agg(F.count("*").alias("denticity"))
+
+
+# ---------------------------------------------------------------- edges
+
+
+@query("""SELECT p_size AS cell, a.p_partkey AS i, b.p_partkey AS j, b.y - a.y AS dy
+FROM (SELECT p_size, p_partkey, CAST(p_partkey % 50 AS INTEGER) AS y, floor(p_retailprice / 10) AS shell FROM part) a
+JOIN (SELECT p_size AS size_b, p_partkey, CAST(p_partkey % 50 AS INTEGER) AS y, floor(p_retailprice / 10) AS shell FROM part) b
+ON a.p_size = b.size_b AND a.p_partkey < b.p_partkey AND abs(a.y - b.y) <= 2 AND a.shell = b.shell""")
+def radius_neighbors(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of points (parts) of a box that are within a radius: a grid join on cells of the radius' size."""
+    own = table(spark, folder, "part").select("p_size", "p_partkey", (F.col("p_partkey") % 50).cast("int").alias("y"), F.floor(F.col("p_retailprice") / 10).alias("shell"))
+    here = own.withColumn("grid", F.floor(F.col("y") / 2))
+    there = here.select(F.col("p_size").alias("size_b"), F.col("p_partkey").alias("j"), F.col("y").alias("yb"), F.col("shell").alias("shell_b"), F.explode(F.array(*(F.col("grid") + k for k in (-1, 0, 1)))).alias("grid_b"))
+    met = here.join(there, (here.p_size == there.size_b) & (here.grid == there.grid_b) & (here.shell == there.shell_b) & (here.p_partkey < there.j) & (F.abs(here.y - there.yb) <= 2))
+    return met.select(F.col("p_size").alias("cell"), F.col("p_partkey").alias("i"), "j", (F.col("yb") - F.col("y")).alias("dy"))
+
+
+@query("""SELECT l_orderkey AS structure_id, NOT coalesce(bool_or(abs(a_q - b_q) < 2 AND (a_flag = 'N') = (b_flag = 'N')), false) AS clear
+FROM (SELECT DISTINCT l_orderkey FROM lineitem) s LEFT JOIN (
+  SELECT a.l_orderkey AS k, a.l_quantity AS a_q, b.l_quantity AS b_q, a.l_returnflag AS a_flag, b.l_returnflag AS b_flag
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber) p ON s.l_orderkey = p.k GROUP BY 1""")
+def overlap_flag(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether no two members of a structure that are of one sort, or neither is, come too close."""
+    own = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    members = own.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", (F.col("l_returnflag") == "N").alias("n")))).alias("m"))
+    close = F.exists("m", lambda a: F.exists("m", lambda b: (a["l_linenumber"] < b["l_linenumber"]) & (F.abs(a["l_quantity"] - b["l_quantity"]) < 2) & (a["n"] == b["n"])))
+    return members.select(F.col("l_orderkey").alias("structure_id"), (~close).alias("clear"))
+
+
+@query(f"""WITH {CONTACTS}
+SELECT cluster, ligand, sx, sy, sz, part FROM contacts c
+WHERE NOT EXISTS (SELECT 1 FROM (SELECT s_suppkey AS i, c_custkey AS j FROM supplier JOIN customer ON s_nationkey = c_nationkey) k
+                  WHERE (k.i = c.cluster AND k.j = c.ligand) OR (k.j = c.cluster AND k.i = c.ligand))""")
+def cut_antijoin(spark: SparkSession, folder: str) -> DataFrame:
+    """Contacts less the cut pairs (supplier and customer of one nation), in either direction."""
+    cuts = table(spark, folder, "supplier").join(table(spark, folder, "customer"), F.col("s_nationkey") == F.col("c_nationkey")).select(F.col("s_suppkey").alias("cluster"), F.col("c_custkey").alias("ligand"))
+    return edges.cut(contacts(spark, folder), cuts, [], "cluster", "ligand").select("cluster", "ligand", "sx", "sy", "sz", "part")
+
+
+@query("""SELECT DISTINCT o_custkey AS i, l_suppkey AS j, c_nationkey AS comp_i, s_nationkey AS comp_j
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
+WHERE EXISTS (SELECT 1 FROM orders o2 JOIN lineitem l2 ON l2.l_orderkey = o2.o_orderkey WHERE o2.o_custkey = orders.o_custkey AND l2.l_suppkey = lineitem.l_suppkey AND o2.o_orderstatus = 'F')
+AND (c_nationkey < 12) <> (s_nationkey < 12)""")
+def genuine_contacts(spark: SparkSession, folder: str) -> DataFrame:
+    """Cut pairs that are real bonds and join a cluster component to another."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
+    pairs = lines.select(F.col("o_custkey").alias("i"), F.col("l_suppkey").alias("j"), "o_orderstatus")
+    real = pairs.select("i", "j").distinct().join(pairs.where("o_orderstatus = 'F'").select("i", "j").distinct(), ["i", "j"], "left_semi")
+    left = table(spark, folder, "customer").select(F.col("c_custkey").alias("i"), F.col("c_nationkey").alias("comp_i"))
+    right = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("j"), F.col("s_nationkey").alias("comp_j"))
+    return real.join(left, "i").join(right, "j").where((F.col("comp_i") < 12) != (F.col("comp_j") < 12)).select("i", "j", "comp_i", "comp_j")
+
+
+@query("""WITH RECURSIVE e AS (
+  SELECT 100 + n_nationkey AS u, n_regionkey AS v FROM nation UNION SELECT 1000 + s_suppkey, 100 + s_nationkey FROM supplier
+  UNION SELECT 1000000 + c_custkey, 100 + c_nationkey FROM customer),
+b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+w AS (SELECT u AS node, u AS label FROM b WHERE u < 100 UNION SELECT b.v, w.label FROM w JOIN b ON b.u = w.node)
+SELECT CAST(node AS BIGINT) AS node, CAST(min(label) AS BIGINT) AS root FROM w GROUP BY node""")
+def connected_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of the graph of regions, nations, suppliers and customers, each named by its least node."""
+    rows = [("nation", 100, "n_nationkey", 0, "n_regionkey"), ("supplier", 1000, "s_suppkey", 100, "s_nationkey"), ("customer", 1000000, "c_custkey", 100, "c_nationkey")]
+    parts = [table(spark, folder, t).select((F.col(a) + x).cast("long").alias("u"), (F.col(b) + y).cast("long").alias("v")) for t, x, a, y, b in rows]
+    return components.connected(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+@query("""WITH e AS (
+  SELECT c_nationkey AS u, s_nationkey AS v, CAST(c_custkey % 3 - s_suppkey % 3 + l_linenumber % 3 - 1 AS INTEGER) AS sx, CAST(c_custkey % 2 - s_suppkey % 2 AS INTEGER) AS sy
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey)
+SELECT DISTINCT CAST(CASE WHEN k THEN u ELSE v END AS BIGINT) AS u, CAST(CASE WHEN k THEN v ELSE u END AS BIGINT) AS v, CAST(CASE WHEN k THEN sx ELSE -sx END AS INTEGER) AS sx, CAST(CASE WHEN k THEN sy ELSE -sy END AS INTEGER) AS sy, 0 AS sz
+FROM (SELECT *, (u, sx, sy) <= (v, -sx, -sy) AS k FROM e) WHERE NOT (u = v AND sx = 0 AND sy = 0)""")
+def component_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges between components (nations): shift = image of one end - image of the other + the contact's."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber").join(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    cuts = lines.select(F.col("o_custkey").alias("i"), (F.col("l_suppkey") + SUPPLIERS).alias("j"), (F.col("l_linenumber") % 3 - 1).cast("int").alias("sx"), F.lit(0).alias("sy"), F.lit(0).alias("sz"))
+    images = lambda t, key, nation, plus: table(spark, folder, t).select((F.col(key) + plus).alias("atom_id"), F.col(nation).cast("long").alias("comp_id"), (F.col(key) % 3).cast("int").alias("ix"), (F.col(key) % 2).cast("int").alias("iy"), F.lit(0).alias("iz"))
+    return edges.between_components(cuts, images("customer", "c_custkey", "c_nationkey", 0).unionByName(images("supplier", "s_suppkey", "s_nationkey", SUPPLIERS)), [])
+
+
+@query(f"""WITH {CONTACTS}, e AS (SELECT cluster % 7 AS u, ligand % 7 AS v, sx, sy, sz FROM contacts)
+SELECT DISTINCT CASE WHEN k THEN u ELSE v END AS u, CASE WHEN k THEN v ELSE u END AS v, CAST(CASE WHEN k THEN sx ELSE -sx END AS INTEGER) AS sx, CAST(CASE WHEN k THEN sy ELSE -sy END AS INTEGER) AS sy, 0 AS sz
+FROM (SELECT *, (u, sx, sy) <= (v, -sx, -sy) AS k FROM e) WHERE NOT (u = v AND sx = 0 AND sy = 0)""")
+def canonical_edge_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Each undirected periodic edge once."""
+    return edges.canonical(contacts(spark, folder).select((F.col("cluster") % 7).alias("u"), (F.col("ligand") % 7).alias("v"), "sx", "sy", "sz"), [])
+
+
+@query("""SELECT l_orderkey AS structure_id, l_linenumber AS edge,
+  CAST(s - floor(s / CAST(p AS DOUBLE)) * p AS INTEGER) AS sx FROM (
+  SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity) AS INTEGER) - 25 AS s, l_linenumber % 3 + 1 AS p FROM lineitem)""")
+def reduce_mod_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    """Shifts as their remainder modulo a period, rounding down."""
+    own = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("structure_id"), F.col("l_linenumber").alias("edge"), (F.col("l_quantity").cast("int") - 25).alias("sx"))
+    return edges.reduced(own, F.col("edge") % 3 + 1, "x")
+
+
+@query(f"""WITH {CONTACTS}
+SELECT cluster AS i, ligand AS j, sx, sy, sz FROM (
+  SELECT *, row_number() OVER (PARTITION BY cluster, ligand ORDER BY n DESC, sx, sy, sz) AS r FROM (
+    SELECT cluster, ligand, sx, sy, sz, count(*) AS n FROM contacts GROUP BY ALL)) WHERE r = 1""")
+def mode_shift(spark: SparkSession, folder: str) -> DataFrame:
+    """The most frequent shift of each pair, of equally frequent ones the least."""
+    own = contacts(spark, folder).select(F.col("cluster").alias("i"), F.col("ligand").alias("j"), "sx", "sy", "sz")
+    return edges.usual_shift(own, []).select("i", "j", "sx", "sy", "sz")
+
+
+@query(f"""WITH {CONTACTS} SELECT node, count(*) AS degree FROM (
+  SELECT cluster AS node FROM contacts UNION ALL SELECT 1000000 + ligand FROM contacts) GROUP BY node""")
+def endpoint_degree(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each node is an end of an edge."""
+    return edges.degrees(contacts(spark, folder).select(F.col("cluster").alias("u"), (F.col("ligand") + 1000000).alias("v")), [])
+
+
+@query("""WITH e AS (SELECT l_orderkey AS node, l_partkey AS far, min(l_linenumber % 3) AS s FROM lineitem GROUP BY 1, 2),
+two AS (SELECT node FROM e GROUP BY node HAVING count(*) = 2),
+o AS (SELECT e.*, row_number() OVER (PARTITION BY node ORDER BY far, s) AS r FROM e JOIN two USING (node)),
+spliced AS (SELECT 'p' || a.far AS u, 'p' || b.far AS v, b.s - a.s AS sx FROM o a JOIN o b ON a.node = b.node AND a.r = 1 AND b.r = 2),
+rest AS (SELECT 'o' || node AS u, 'p' || far AS v, s AS sx FROM e WHERE node NOT IN (SELECT node FROM two))
+SELECT DISTINCT CASE WHEN k THEN u ELSE v END AS u, CASE WHEN k THEN v ELSE u END AS v, CAST(CASE WHEN k THEN sx ELSE -sx END AS INTEGER) AS sx, 0 AS sy, 0 AS sz
+FROM (SELECT *, (u, sx) <= (v, -sx) AS k FROM (SELECT * FROM spliced UNION ALL SELECT * FROM rest))""")
+def splice_two_connected(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with two parts become an edge between these."""
+    own = table(spark, folder, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min(F.col("l_linenumber") % 3).alias("sx"))
+    own = own.select(F.concat(F.lit("o"), "l_orderkey").alias("u"), F.concat(F.lit("p"), "l_partkey").alias("v"), F.col("sx").cast("int").alias("sx"), F.lit(0).alias("sy"), F.lit(0).alias("sz"))
+    return edges.splice(own, own.select(F.col("u").alias("node")).distinct(), [])
+
+
+@query("""WITH i AS (SELECT DISTINCT l_suppkey AS node, l_orderkey AS link, CAST(l_linenumber % 2 AS INTEGER) AS sx FROM lineitem),
+o AS (SELECT *, count(*) OVER (PARTITION BY link) AS n, row_number() OVER (PARTITION BY link ORDER BY node, sx) AS r FROM i),
+e AS (SELECT a.node AS u, b.node AS v, a.sx - b.sx AS sx FROM o a JOIN o b ON a.link = b.link AND a.n = 2 AND a.r = 1 AND b.r = 2
+      UNION ALL SELECT node, -1 - link, sx FROM o WHERE n > 2)
+SELECT DISTINCT CASE WHEN k THEN u ELSE v END AS u, CASE WHEN k THEN v ELSE u END AS v, CAST(CASE WHEN k THEN sx ELSE -sx END AS INTEGER) AS sx, 0 AS sy, 0 AS sz
+FROM (SELECT *, (u, sx) <= (v, -sx) AS k FROM e) WHERE NOT (u = v AND sx = 0)""")
+def contraction_2_3(spark: SparkSession, folder: str) -> DataFrame:
+    """Links (orders) of two nodes (suppliers) become edges, of three or more nodes of their own."""
+    own = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("node"), F.col("l_orderkey").alias("link"), (F.col("l_linenumber") % 2).cast("int").alias("sx"), F.lit(0).alias("sy"), F.lit(0).alias("sz"))
+    return edges.contracted(own, [])
+
+
+# ---------------------------------------------------------------- groups
+
+#: The nations of an order's suppliers, as components of a structure; DuckDB and Spark.
+MEMBERS = "m AS (SELECT l_orderkey AS comp_id, l_returnflag AS element, l_quantity, l_linenumber, l_extendedprice, l_shipdate FROM lineitem)"
+
+
+def members(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("comp_id"), F.col("l_returnflag").alias("element"), "l_quantity", "l_linenumber")
+
+
+@query(f"""WITH {MEMBERS}, s AS (SELECT comp_id, array_to_string(list_sort(list(element)), ' ') AS signature FROM m GROUP BY comp_id)
+SELECT comp_id, signature, min(comp_id) OVER (PARTITION BY signature) AS region_id FROM s""")
+def region_signature(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of the same sorted elements share a region."""
+    return groups.regions(members(spark, folder).select("comp_id", "element"), [])
+
+
+@query(f"""WITH {MEMBERS}, s AS (SELECT comp_id, array_to_string(list_sort(list(element)), ' ') AS signature, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS mass FROM m GROUP BY comp_id)
+SELECT signature, min(comp_id) AS comp_id, arg_min(mass, comp_id) AS mass FROM s GROUP BY signature""")
+def region_representative(spark: SparkSession, folder: str) -> DataFrame:
+    """The first component of each region with its mass."""
+    own = members(spark, folder).groupBy("comp_id").agg(F.array_join(F.array_sort(F.collect_list("element")), " ").alias("signature"), F.sum(F.col("l_quantity").cast("long")).alias("mass"))
+    return groups.representatives(own.withColumn("first", F.col("comp_id")), "signature", "first", []).drop("first").select("signature", "comp_id", "mass")
+
+
+@query("""SELECT structure_id, comp_id, mass FROM (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY mass DESC, comp_id) AS r FROM (
+  SELECT o_custkey AS structure_id, o_orderkey AS comp_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS mass FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)) WHERE r = 1""")
+def heaviest_component(spark: SparkSession, folder: str) -> DataFrame:
+    """The heaviest component (order) of each structure (customer), of equal ones the first."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_quantity").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("mass"))
+    own = lines.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("structure_id"), F.col("o_orderkey").alias("comp_id"), "mass")
+    return groups.largest(own, F.col("mass"), "comp_id")
+
+
+@query(f"""WITH {CONTACTS}, i AS (SELECT DISTINCT cluster, ligand, sx, sy, sz FROM contacts)
+SELECT ligand, count(*) AS contacts, count(*) = 1 AS terminal FROM i GROUP BY ligand""")
+def terminal_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Contacts of each ligand; with one it is terminal."""
+    return fingerprint.terminal_split(incidence_denticity(spark, folder), [])
+
+
+@query(f"""WITH {CONTACTS}, i AS (SELECT DISTINCT cluster, ligand, sx, sy, sz FROM contacts),
+n AS (SELECT c_mktsegment AS species, ligand, count(*) AS contacts FROM i JOIN customer ON c_custkey = ligand GROUP BY 1, 2)
+SELECT species, contacts, count(*) AS n FROM n GROUP BY species, contacts""")
+def contact_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    """How many ligands of each species have how many contacts."""
+    own = fingerprint.terminal_split(incidence_denticity(spark, folder), [])
+    named = own.join(table(spark, folder, "customer").select(F.col("c_custkey").alias("ligand"), F.col("c_mktsegment").alias("species")), "ligand")
+    return named.groupBy("species", "contacts").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_custkey AS structure_id, CASE WHEN t % g = 0 AND b = g THEN CAST(t // g AS VARCHAR) ELSE CAST(t // g AS VARCHAR) || '/' || CAST(b // g AS VARCHAR) END AS ratio FROM (
+  SELECT o_custkey, count(*) AS t, count(DISTINCT o_orderpriority) AS b, gcd(count(*), count(DISTINCT o_orderpriority)) AS g FROM orders GROUP BY o_custkey)""")
+def exact_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts for one unit as reduced fractions."""
+    own = table(spark, folder, "orders").groupBy("o_custkey").agg(F.count("*").alias("t"), F.count_distinct("o_orderpriority").alias("b"))
+    return own.select(F.col("o_custkey").alias("structure_id"), numbers.ratio(F.col("t"), F.col("b")).alias("ratio"))
+
+
+@query(f"""WITH {MEMBERS}, c AS (SELECT comp_id, element, sum(CAST(l_quantity AS BIGINT)) AS n FROM m GROUP BY 1, 2)
+SELECT comp_id, CAST(list_reduce(list(n), lambda a, b: gcd(a, b)) AS BIGINT) AS units FROM c GROUP BY comp_id""")
+def repeat_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Greatest common divisor of each component's counts."""
+    own = members(spark, folder).groupBy("comp_id", "element").agg(F.sum(F.col("l_quantity").cast("long")).alias("n"))
+    return own.groupBy("comp_id").agg(numbers.gcd_all(F.collect_list("n")).alias("units"))
+
+
+@query("""WITH c AS (SELECT l_suppkey AS comp_id, CASE l_linestatus WHEN 'O' THEN 'C' ELSE l_returnflag END AS element, count(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT comp_id, string_agg(element || CASE WHEN n = 1 THEN '' ELSE CAST(n AS VARCHAR) END, '' ORDER BY CASE element WHEN 'C' THEN 0 WHEN 'H' THEN 1 ELSE 2 END, element) AS formula FROM c GROUP BY comp_id""")
+def hill_formula(spark: SparkSession, folder: str) -> DataFrame:
+    """Formula of each component: carbon, hydrogen, then by name."""
+    own = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("comp_id"), F.when(F.col("l_linestatus") == "O", "C").otherwise(F.col("l_returnflag")).alias("element"))
+    return groups.formula(own, ["comp_id"]).select("comp_id", "formula")
+
+
+#: Rounds of colour refinement in DuckDB: c0 from labels, each next from neighbours' colours.
+WL = f"""{CONTACTS}, i AS (SELECT DISTINCT cluster, ligand, sx, sy, sz FROM contacts),
+ends AS (SELECT 'cluster' AS kind, cluster AS vertex, 'ligand' AS ok, ligand AS other FROM i UNION ALL SELECT 'ligand', ligand, 'cluster', cluster FROM i),
+c0 AS (SELECT 'cluster' AS kind, s_suppkey AS vertex, sha256(n_name) AS colour FROM supplier JOIN nation ON n_nationkey = s_nationkey
+       UNION ALL SELECT 'ligand', c_custkey, sha256(c_mktsegment) FROM customer)""" + "".join(f""",
+h{k} AS (SELECT kind, vertex, string_agg(v || ':' || CAST(n AS VARCHAR), ',' ORDER BY v) AS h FROM (
+  SELECT e.kind, e.vertex, c.colour AS v, count(*) AS n FROM ends e JOIN c{k - 1} c ON c.kind = e.ok AND c.vertex = e.other GROUP BY 1, 2, 3) GROUP BY kind, vertex),
+c{k} AS (SELECT c.kind, c.vertex, sha256(colour || '|' || coalesce(h, '')) AS colour FROM c{k - 1} c LEFT JOIN h{k} USING (kind, vertex))""" for k in (1, 2, 3))
+
+
+def colours(spark: SparkSession, folder: str, rounds: int) -> DataFrame:
+    rows = incidence_denticity(spark, folder)
+    meets = rows.select(F.lit("cluster").alias("kind"), F.col("cluster").alias("vertex"), F.lit("ligand").alias("other_kind"), F.col("ligand").alias("other")).unionByName(
+        rows.select(F.lit("ligand").alias("kind"), F.col("ligand").alias("vertex"), F.lit("cluster").alias("other_kind"), F.col("cluster").alias("other")))
+    named = table(spark, folder, "supplier").join(table(spark, folder, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.lit("cluster").alias("kind"), F.col("s_suppkey").alias("vertex"), F.sha2("n_name", 256).alias("colour"))
+    found = named.unionByName(table(spark, folder, "customer").select(F.lit("ligand").alias("kind"), F.col("c_custkey").alias("vertex"), F.sha2("c_mktsegment", 256).alias("colour")))
+    units = found.select("kind", "vertex", F.lit(1).cast("long").alias("units"))
+    for _ in range(rounds):
+        found = fingerprint.refine(found, meets, units, [])
+    return found
+
+
+@query(f"WITH {WL} SELECT kind, vertex, colour FROM c1")
+def wl_round_1(spark: SparkSession, folder: str) -> DataFrame:
+    """Colours after one round of refinement."""
+    return colours(spark, folder, 1)
+
+
+@query(f"WITH {WL} SELECT kind, vertex, colour FROM c2")
+def wl_round_2(spark: SparkSession, folder: str) -> DataFrame:
+    """Colours after two rounds of refinement."""
+    return colours(spark, folder, 2)
+
+
+@query(f"WITH {WL} SELECT kind, vertex, colour FROM c3")
+def wl_round_3(spark: SparkSession, folder: str) -> DataFrame:
+    """Colours after three rounds of refinement."""
+    return colours(spark, folder, 3)
+
+
+@query(f"""WITH {WL}, n AS (SELECT substr(colour, 1, 16) AS c, count(*) AS n FROM c3 GROUP BY 1)
+SELECT sha256('[' || string_agg('["' || c || '",' || CAST(n AS VARCHAR) || ']', ',' ORDER BY c) || ']') AS fingerprint_hash, count(*) AS colours FROM n""")
+def fingerprint_hash(spark: SparkSession, folder: str) -> DataFrame:
+    """Hash of the canonical text of the last colours' histogram."""
+    counted = colours(spark, folder, 3).groupBy(F.substring("colour", 1, 16).alias("c")).agg(F.count("*").alias("n"))
+    text = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('["'), "c", F.lit('",'), F.col("n").cast("string"), F.lit("]")))), ",")
+    return counted.agg(F.sha2(F.concat(F.lit("["), text, F.lit("]")), 256).alias("fingerprint_hash"), F.count("*").alias("colours"))
+
+
+@query("""SELECT o_custkey AS structure_id, o_orderkey AS node, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) - 1 AS number FROM orders""")
+def renumber_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes numbered from 0 within their structure, by kind and then id."""
+    own = Window.partitionBy("o_custkey").orderBy("o_orderpriority", "o_orderkey")
+    return table(spark, folder, "orders").select(F.col("o_custkey").alias("structure_id"), F.col("o_orderkey").alias("node"), (F.dense_rank().over(own) - 1).cast("long").alias("number"))
+
+
+@query("""SELECT structure_id, comp_id, n_edges, n_nodes FROM (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY n_edges DESC, n_nodes DESC, comp_id) AS r FROM (
+  SELECT l_suppkey AS structure_id, l_orderkey AS comp_id, count(*) AS n_edges, count(DISTINCT l_partkey) AS n_nodes FROM lineitem GROUP BY 1, 2)) WHERE r = 1""")
+def best_component(spark: SparkSession, folder: str) -> DataFrame:
+    """The component of most edges, then nodes, of each structure."""
+    own = table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("structure_id"), F.col("l_orderkey").alias("comp_id")).agg(F.count("*").alias("n_edges"), F.count_distinct("l_partkey").alias("n_nodes"))
+    best = F.min(F.struct((-F.col("n_edges")).alias("a"), (-F.col("n_nodes")).alias("b"), "comp_id"))
+    return own.groupBy("structure_id").agg(best.alias("m")).select("structure_id", F.col("m.comp_id").alias("comp_id"), (-F.col("m.a")).alias("n_edges"), (-F.col("m.b")).alias("n_nodes"))
+
+
+@query("""SELECT l_orderkey AS structure_id, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) ELSE 'MISMATCH' END AS topology FROM lineitem GROUP BY 1""")
+def all_equal_or_mismatch(spark: SparkSession, folder: str) -> DataFrame:
+    """The name that all components agree on, or a word for none."""
+    return table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("structure_id")).agg(groups.agreed(F.col("l_returnflag")).alias("topology"))
+
+
+@query("""SELECT d.doc_id, k.name FROM documents d LEFT JOIN (
+  SELECT doc_id, arg_min(n_name, ord) AS name FROM (
+    SELECT doc_id, 1 AS ord, n_name FROM documents JOIN nation ON n_name = upper(source)
+    UNION ALL SELECT doc_id, 2, n_name FROM documents JOIN nation ON n_nationkey = n_chars % 40
+    UNION ALL SELECT doc_id, 3, n_name FROM documents JOIN nation ON n_nationkey = doc_id % 30) GROUP BY doc_id) k USING (doc_id)""")
+def first_hit_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """The name under the first of three keys that a dictionary has."""
+    keys = F.posexplode(F.array(F.upper("source"), (F.col("n_chars") % 40).cast("string"), (F.col("doc_id") % 30).cast("string"))).alias("ord", "key")
+    docs = table(spark, folder, "documents").select("doc_id", "source", "n_chars")
+    names = table(spark, folder, "nation").select(F.col("n_nationkey").cast("string").alias("key"), "n_name")
+    every = names.unionByName(names.select(F.col("n_name").alias("key"), "n_name"))
+    return docs.select("doc_id", keys).join(every, "key", "left").groupBy("doc_id").agg(F.min_by("n_name", F.when(F.col("n_name").isNotNull(), F.col("ord"))).alias("name"))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query(r"""SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS links FROM pages""")
+def regex_parse(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields of raw text by pattern."""
+    links = F.size(F.regexp_extract_all("html", F.lit(r'<a [^>]*href="([^"]*)"'), F.lit(1))).cast("long")
+    return table(spark, folder, "pages").select("page_id", F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")).alias("title"), links.alias("links"))
+
+
+@query("""SELECT doc_id, p - 1 AS block_no, length(parts[p]) AS n_chars FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM documents)""")
+def split_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbered blocks of each text."""
+    own = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("block_no", "block"))
+    return own.select("doc_id", F.col("block_no").cast("long").alias("block_no"), F.length("block").cast("long").alias("n_chars"))
+
+
+@query(r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(trim(regexp_extract(url, '([^/]*)$', 1)), '\s+', '_', 'g'), '[^A-Za-z0-9_.-]', '_', 'g'), ''), 'structure') || '__' || substr(sha1(url), 1, 12) AS record_id FROM pages""")
+def record_key(spark: SparkSession, folder: str) -> DataFrame:
+    """Safe name and the beginning of a hash as key of a record."""
+    return table(spark, folder, "pages").select("page_id", text.record_key(F.col("url"), F.regexp_extract("url", "([^/]*)$", 1)).alias("record_id"))
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def json_props(spark: SparkSession, folder: str) -> DataFrame:
+    """A field of JSON text."""
+    return table(spark, folder, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("""SELECT l_suppkey AS comp_id, CASE WHEN sum((l_returnflag = 'R')::INT) > 3 * sum((l_returnflag = 'A')::INT) THEN 'rodlike'
+  WHEN sum((l_quantity >= 45)::INT) >= 70 THEN 'paddlewheel' WHEN count(DISTINCT l_partkey) < count(*) THEN 'repeated' ELSE 'still checking!' END AS sbu_type FROM lineitem GROUP BY 1""")
+def unit_type_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """First rule that a unit's histogram meets."""
+    own = table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("comp_id")).agg(F.count_if(F.col("l_returnflag") == "R").alias("r"), F.count_if(F.col("l_returnflag") == "A").alias("a"), F.count_if(F.col("l_quantity") >= 45).alias("q"), F.count_distinct("l_partkey").alias("p"), F.count("*").alias("n"))
+    rule = F.when(F.col("r") > 3 * F.col("a"), "rodlike").when(F.col("q") >= 70, "paddlewheel").when(F.col("p") < F.col("n"), "repeated").otherwise("still checking!")
+    return own.select("comp_id", rule.alias("sbu_type"))
+
+
+@query("""SELECT l_suppkey AS structure_id, l_returnflag AS element, arg_min(l_partkey, l_orderkey * 10 + l_linenumber) AS first_neighbor, arg_max(l_partkey, l_orderkey * 10 + l_linenumber) AS last_neighbor FROM lineitem GROUP BY 1, 2""")
+def first_last_per_group(spark: SparkSession, folder: str) -> DataFrame:
+    """A value of the first and of the last member of each group."""
+    at = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("structure_id"), F.col("l_returnflag").alias("element")).agg(F.min_by("l_partkey", at).alias("first_neighbor"), F.max_by("l_partkey", at).alias("last_neighbor"))
+
+
+@query("""WITH g AS (SELECT p_brand AS structure_id, p_size AS comp_id, sum(CAST(p_partkey AS BIGINT)) AS s, count(*) AS n FROM part GROUP BY 1, 2)
+SELECT a.structure_id, a.comp_id AS i, b.comp_id AS j, CAST(abs(a.s // a.n - b.s // b.n) AS BIGINT) AS height FROM g a JOIN g b ON a.structure_id = b.structure_id AND a.comp_id < b.comp_id""")
+def layer_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Offsets between the centres of all layers of a structure."""
+    own = table(spark, folder, "part").groupBy(F.col("p_brand").alias("structure_id"), F.col("p_size").alias("i")).agg(F.floor(F.sum("p_partkey") / F.count("*")).alias("c"))
+    other = own.select("structure_id", F.col("i").alias("j"), F.col("c").alias("d"))
+    return own.join(other, "structure_id").where("i < j").select("structure_id", "i", "j", F.abs(F.col("c") - F.col("d")).alias("height"))
+
+
+# ---------------------------------------------------------------- tables that grow
+
+
+@query("""SELECT key, ts, value FROM (SELECT user_id AS key, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
+def upsert_last_wins(spark: SparkSession, folder: str) -> DataFrame:
+    """The last record of each key."""
+    own = table(spark, folder, "events").select(F.col("user_id").alias("key"), "ts", "value", "event_type", F.struct("ts", "event_id").alias("seq"))
+    return records.upsert(own.where("event_type = 'view'"), own.where("event_type <> 'view'"), ["key"], "seq").select("key", "ts", "value")
+
+
+@query("""SELECT o_orderkey AS record_id, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")
+def resume_antijoin(spark: SparkSession, folder: str) -> DataFrame:
+    """Inputs that weren't processed before."""
+    done = table(spark, folder, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("record_id"))
+    return records.pending(table(spark, folder, "orders").select(F.col("o_orderkey").alias("record_id"), "o_custkey"), done, "record_id")
+
+
+@query("""SELECT p_brand AS folder, p_partkey AS record_id, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 100 AS batch FROM part""")
+def batch_assign(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of a hundred records of each folder."""
+    return records.batches(table(spark, folder, "part").select(F.col("p_brand").alias("folder"), F.col("p_partkey").alias("record_id")), "folder", "record_id", 100)
+
+
+@query("""SELECT user_id, min(event_id) FILTER (event_type = 'click') AS click, min(event_id) FILTER (event_type = 'purchase') AS purchase, min(event_id) FILTER (event_type = 'view') AS "view" FROM events GROUP BY user_id""")
+def topology_pivot(spark: SparkSession, folder: str) -> DataFrame:
+    """A column for each method, a row for each record."""
+    return records.wide(table(spark, folder, "events").select("user_id", "event_type", "event_id"), "user_id", "event_type", ["click", "purchase", "view"], F.min("event_id"))
+
+
+@query("""SELECT doc_id, source, quality FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL""")
+def drop_failed_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with a result, less their bulky columns."""
+    own = table(spark, folder, "documents").select("doc_id", "source", "text").join(table(spark, folder, "labels").select("doc_id", "quality"), "doc_id")
+    return records.summary(own, "quality", ["text"])
+
+
+@query("""SELECT d.doc_id, coalesce(l.quality, CASE WHEN d.n_chars > 500 THEN 1 ELSE 0 END) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def backfill(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored values, computed where there are none."""
+    own = table(spark, folder, "documents").select("doc_id", "n_chars").join(table(spark, folder, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return own.select("doc_id", F.coalesce("quality", F.when(F.col("n_chars") > 500, 1).otherwise(0)).alias("quality"))
