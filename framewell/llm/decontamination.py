@@ -43,18 +43,17 @@ BLOCK = 16_000_000
 FOUND = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("distance", T.IntegerType())])
 
 
-def embed(tokens: np.ndarray, starts: np.ndarray, size: int, walk: int, places: np.ndarray) -> np.ndarray:
-    """Bucket names of the windows of ``size`` tokens at ``starts``: hashes of the CGK walk's words at ``places`` (ascending)."""
-    at = np.zeros(len(starts), np.int64)
-    names = np.full(len(starts), np.uint64((walk + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-    wanted = set(places.tolist())
-    for step in range(int(places[-1]) + 1):
-        inside = at < size
-        under = np.where(inside, tokens[starts + np.minimum(at, size - 1)], np.uint64(0))
-        if step in wanted:
-            names = words.mix(names ^ under) + np.uint64(step)
-        salt = np.uint64(((step + 1) * 0xD6E8FEB86659FD93 + walk * 0xA0761D6478BD642F) & (2**64 - 1))
-        at += ((words.mix(under ^ salt) >> np.uint64(33)) & np.uint64(1)).astype(np.int64)
+def embed(tokens: np.ndarray, starts: np.ndarray, size: int, places: np.ndarray) -> np.ndarray:
+    """Bucket names (walks x windows) of the windows of ``size`` tokens at ``starts``: hashes of each CGK walk's words at its row of ``places``."""
+    walks = np.arange(1, len(places) + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    at = np.zeros((len(places), len(starts)), np.int64)
+    names = np.broadcast_to(walks, at.shape).copy()
+    for step in range(int(places.max()) + 1):
+        under = np.where(at < size, tokens[starts + np.minimum(at, size - 1)], np.uint64(0))
+        here = (places == step).any(axis=1)
+        if here.any():
+            names[here] = words.mix(names[here] ^ under[here]) + np.uint64(step)
+        at += ((words.mix(under ^ (walks + np.uint64((step + 1) * 0xD6E8FEB86659FD93 & (2**64 - 1)))) >> np.uint64(33)) & np.uint64(1)).astype(np.int64)
     return names
 
 
@@ -66,22 +65,29 @@ def varied(tokens: np.ndarray, known: np.ndarray, starts: np.ndarray, size: int,
     return starts[(held[:, 1:] != held[:, :-1]).sum(axis=1) + (held[:, 0] != 0) >= least]
 
 
-def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """Least edit distance of item to a stretch of text, and that stretch (the shortest of the first to end)."""
-    n = len(text)
-    cost, origin = np.zeros(n + 1, np.int64), np.arange(n + 1)
+def distance(item: np.ndarray, text: np.ndarray) -> int:
+    """Least edit distance of item to a stretch of text."""
+    place = np.arange(len(text) + 1)
+    cost = np.zeros(len(text) + 1, np.int64)
     for k, word in enumerate(item, 1):
-        change = cost[:-1] + (text != word)
-        drop = cost[1:] + 1
-        best = np.where(change <= drop, change, drop)
-        source = np.where(change <= drop, origin[:-1], origin[1:])
-        row, from_ = np.empty(n + 1, np.int64), np.empty(n + 1, np.int64)
-        row[0], from_[0] = k, origin[0]
-        for j in range(n):
-            row[j + 1], from_[j + 1] = (best[j], source[j]) if best[j] <= row[j] + 1 else (row[j] + 1, from_[j])
-        cost, origin = row, from_
-    end = int(cost.argmin())
-    return int(cost[end]), int(origin[end]), end
+        row = np.minimum(cost + 1, np.concatenate([[k], cost[:-1] + (text != word)]))
+        cost = np.minimum.accumulate(row - place) + place
+    return int(cost.min())
+
+
+def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """Least edit distance of item to a stretch of text, and that stretch: the first to end."""
+    cost, origin = [0] * (len(text) + 1), list(range(len(text) + 1))
+    for k, word in enumerate(item.tolist(), 1):
+        row, source = [k], [origin[0]]
+        for j, other in enumerate(text.tolist()):
+            change, drop, more = cost[j] + (other != word), cost[j + 1] + 1, row[j] + 1
+            least = min(change, drop, more)
+            row.append(least)
+            source.append(origin[j] if change == least else origin[j + 1] if drop == least else source[j])
+        cost, origin = row, source
+    end = min(range(len(cost)), key=cost.__getitem__)
+    return cost[end], origin[end], end
 
 
 @dataclass
@@ -92,7 +98,7 @@ class Index:
     items: list[np.ndarray]
     sizes: dict[int, list[int]] = field(default_factory=lambda: defaultdict(list))
     vocabulary: dict[str, int] = field(default_factory=dict)
-    places: dict[int, list[np.ndarray]] = field(default_factory=dict)
+    places: dict[int, np.ndarray] = field(default_factory=dict)
     held: dict[tuple[int, int], dict[int, list[int]]] = field(default_factory=dict)
 
     def find(self, found: words.Words) -> list[list[tuple[int, int, int, int]]]:
@@ -102,36 +108,50 @@ class Index:
         sizes = sorted(self.sizes)
         get = self.vocabulary.get
         masks = [get(w, 0) for w in found.distinct]
+        cuts = [0]  # documents that are looked at together, so that their marks stay in the processor's cache
+        for k, end in enumerate(found.starts[1:], 1):
+            if end - found.starts[cuts[-1]] > 100_000:
+                cuts.append(k)
+        cuts.append(len(found.starts) - 1)
         for low in range(0, len(sizes), 63):
-            mask = np.fromiter(((m >> low) & (2**63 - 1) for m in masks), np.int64, len(masks))[found.ids] if len(tokens) else np.zeros(0, np.int64)
-            for bit, size in enumerate(sizes[low : low + 63]):
-                if len(tokens) >= size:
-                    self.windows(found, tokens, size, ((mask >> bit) & 1).astype(np.int8), out)
+            mask = np.fromiter(((m >> low) & (2**63 - 1) for m in masks), np.int64, len(masks))
+            starts: dict[int, list[np.ndarray]] = defaultdict(list)
+            for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+                self.gate(found.starts[first : last + 1], tokens, mask[found.ids[found.starts[first] : found.starts[last]]] if len(masks) else mask, sizes[low : low + 63], starts)
+            for size, own in starts.items():
+                self.windows(found, tokens, size, np.concatenate(own), out)
         for rows in out:
             rows.sort(key=lambda r: (r[1], r[0]))
         return out
 
-    def windows(self, found: words.Words, tokens: np.ndarray, size: int, known: np.ndarray, out: list) -> None:
-        """Add the occurrences of the items of one size; known marks words that any of them has."""
-        sums = np.zeros(len(known) + 1, np.int32)
-        np.cumsum(known, out=sums[1:])
-        starts = np.flatnonzero(sums[size:] - sums[:-size] >= size - int(EDITS * size))
-        if not len(starts):
-            return
-        docs = np.searchsorted(found.starts, starts, side="right") - 1
-        inside = starts + size <= found.starts[docs + 1]
-        starts = starts[inside]
-        least = min(len(np.unique(self.items[k])) for k in self.sizes[size]) - int(EDITS * size)
-        held = [varied(tokens, known, starts[k : k + 20_000], size, least) for k in range(0, len(starts), 20_000)]
-        starts = np.concatenate(held) if held else starts
+    def gate(self, ends: np.ndarray, tokens: np.ndarray, mask: np.ndarray, sizes: list[int], starts: dict[int, list[np.ndarray]]) -> None:
+        """Add the windows of some documents that hold enough words of each size's items."""
+        tokens = tokens[ends[0] : ends[-1]]
+        left = np.repeat(ends[1:] - ends[0], np.diff(ends)) - np.arange(len(tokens))
+        sums = np.zeros(len(mask) + 1, np.int32)
+        for bit, size in enumerate(sizes):
+            if len(tokens) < size:
+                continue
+            known = ((mask >> bit) & 1).astype(np.int8)
+            np.cumsum(known, out=sums[1:])
+            some = np.flatnonzero(sums[size:] - sums[:-size] >= size - int(EDITS * size))
+            some = some[left[some] >= size]
+            least = min(len(np.unique(self.items[k])) for k in self.sizes[size]) - int(EDITS * size)
+            for k in range(0, len(some), 20_000):
+                kept = varied(tokens, known, some[k : k + 20_000], size, least)
+                if len(kept):
+                    starts[size].append(kept + ends[0])
+
+    def windows(self, found: words.Words, tokens: np.ndarray, size: int, starts: np.ndarray, out: list) -> None:
+        """Add the occurrences of the items of one size at the windows given."""
         docs = np.searchsorted(found.starts, starts, side="right") - 1
         met: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for walk in range(WALKS):
-            names = embed(tokens, starts, size, walk, self.places[size][walk])
-            held = self.held[size, walk]
-            for k in np.flatnonzero(np.isin(names, np.fromiter(held, np.uint64, len(held)))):
-                for item in held[int(names[k])]:
-                    met[int(docs[k]), item].append(int(starts[k]))
+        for at in range(0, len(starts), 10_000):
+            for walk, names in enumerate(embed(tokens, starts[at : at + 10_000], size, self.places[size])):
+                held = self.held[size, walk]
+                for k in np.flatnonzero(np.isin(names, np.fromiter(held, np.uint64, len(held)))):
+                    for item in held[int(names[k])]:
+                        met[int(docs[at + k]), item].append(int(starts[at + k]))
         for (doc, item), places in met.items():
             self.verify(tokens, found.starts[doc], found.starts[doc + 1], item, sorted(set(places)), out[doc])
 
@@ -154,9 +174,9 @@ class Index:
             low, high = max(first, run[0] - most, done), min(last, run[-1] + size + most)
             if high <= low:
                 continue
-            distance, a, b = nearest(own, tokens[low:high])
-            if distance <= most and b > a:
-                out.append((item, int(low + a - first), int(low + b - first), distance))
+            if distance(own, tokens[low:high]) <= most:
+                edits, a, b = nearest(own, tokens[low:high])
+                out.append((item, int(low + a - first), int(low + b - first), edits))
                 done = low + b
 
 
@@ -175,12 +195,12 @@ def index(items: list[tuple[int, str]]) -> Index:
             made.vocabulary[found.distinct[i]] = made.vocabulary.get(found.distinct[i], 0) | bits[len(item)]
     for size, members in made.sizes.items():
         random = np.random.default_rng([SEED, size])
-        made.places[size] = [np.sort(random.choice(2 * size, min(PICKS, 2 * size), replace=False)) for _ in range(WALKS)]
+        made.places[size] = np.array([np.sort(random.choice(2 * size, min(PICKS, 2 * size), replace=False)) for _ in range(WALKS)])
         flat, starts = np.concatenate([made.items[k] for k in members]), np.arange(len(members)) * size
-        for walk in range(WALKS):
+        for walk, names in enumerate(embed(flat, starts, size, made.places[size])):
             held: dict[int, list[int]] = defaultdict(list)
-            for k, name in zip(members, embed(flat, starts, size, walk, made.places[size][walk]), strict=True):
-                held[int(name)].append(k)
+            for k, name in zip(members, names.tolist(), strict=True):
+                held[name].append(k)
             made.held[size, walk] = dict(held)
     return made
 
