@@ -33,7 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewell.llm import graph, words
+from framewell.llm import words
+from framewell.operators import components
 from framewell.session import cut_lineage
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -204,7 +205,7 @@ def classed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     sketched = cut_lineage(sketch(docs, doc_id, text))
     nodes = cut_lineage(sketched.where("node is not null").groupBy("node").agg(_first().alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
     found = cut_lineage(links(docs, nodes, doc_id, text).select("a", "b").distinct())
-    roots = graph.components(found, "a", "b")
+    roots = components.connected(found, "a", "b")
     degree = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
     known = sketched.select("doc_id", "body", "node").join(roots.join(degree, "node"), "node", "left")
     return known.select("doc_id", "body", "node", F.coalesce("root", "node").alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
