@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from framewell.functions.numbers import ratio
 from framewell.operators import groups
+from framewell.session import cut_lineage
 
 KEYS = ["structure_id"]
 #: Rounds of colour refinement, and digits of a colour that are shown.
@@ -46,6 +47,20 @@ def _histogram(rows: DataFrame, by: list[str], of: str, units: DataFrame, keys:
     return counted.groupBy(*by).agg(F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p["v"], p["n"].cast("string"))), ",").alias("histogram"))
 
 
+def vertices(incidences: DataFrame, known: DataFrame) -> DataFrame:
+    """(structure_id, kind, vertex, element_counts, formula, rank) of components; the formula is over the repeat units of a periodic component.
+
+    known: (structure_id, comp_id, kind, formula, element_counts, rank).
+    """
+    terminal = terminal_split(incidences).select("structure_id", F.col("ligand").alias("vertex"), F.lit("ligand").alias("kind"), "terminal")
+    ends = _by_vertex(incidences, KEYS).groupBy("structure_id", "kind", "vertex").agg(F.count_if((F.col("kind") == "ligand") | ~F.col("terminal")).alias("framework"))
+    own = known.withColumnRenamed("comp_id", "vertex").join(ends, ["structure_id", "kind", "vertex"]).join(terminal, ["structure_id", "kind", "vertex"], "left")
+    units = F.when(F.coalesce("terminal", F.lit(False)), F.lit(1).cast("long")).otherwise(groups.repeat_units(F.col("element_counts"), F.col("framework"), F.col("rank") > 0))
+    own = own.withColumn("u", units)
+    part = F.transform("elements", lambda e: F.concat(e["element"], F.when(e["n"] == F.col("u"), "").otherwise((e["n"] / F.col("u")).cast("long").cast("string"))))
+    return own.select("structure_id", "kind", "vertex", "element_counts", F.array_join(part, "").alias("formula"), "rank")
+
+
 def refine(colours: DataFrame, meets: DataFrame, units: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """One round of colour refinement: a vertex's colour and the histogram of its neighbours' colours make the next."""
     by = [*keys, "kind", "vertex"]
@@ -66,13 +81,14 @@ def fingerprint(incidences: DataFrame, vertices: DataFrame, keys: list[str] = KE
     known = sizes.join(vertices, by)
     framework = F.when(F.col("kind") == "cluster", F.col("contacts") - F.col("capped")).otherwise(F.col("contacts"))
     known = known.withColumn("framework", framework).withColumn("units", F.when(F.col("terminal"), F.lit(1).cast("long")).otherwise(groups.repeat_units(F.col("element_counts"), F.col("framework"), F.col("rank") > 0)))
+    known, ends = cut_lineage(known), cut_lineage(ends)
     inner = known.where("NOT terminal")
     units = inner.select(*by, "units")
     meets = ends.where("NOT terminal")
     told = _histogram(meets, by, "denticity", units, keys)
     first = inner.join(told, by, "left").select(*by, F.sha2(F.concat_ws("|", "kind", "formula", F.col("rank").cast("string"), F.floor(F.col("framework") / F.col("units")).cast("string"), F.coalesce("histogram", F.lit(""))), 256).alias("colour"))
     for _ in range(ROUNDS):
-        first = refine(first, meets, units, keys)
+        first = cut_lineage(refine(first, meets, units, keys))
     total = inner.where("kind = 'cluster'").groupBy(*keys).agg(F.greatest(F.sum("units"), F.lit(1).cast("long")).alias("cluster_units"))
     role = F.when(F.col("terminal"), "terminal").when(F.col("kind") == "cluster", "clusters").otherwise("ligands")
     per_unit = lambda c: F.floor(F.col(c) / F.col("units")).cast("string")

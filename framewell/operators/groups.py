@@ -37,7 +37,7 @@ def formula(members: DataFrame, by: list[str], divisor: Column | None = None) ->
     place = F.when(F.col("element") == "C", 0).when(F.col("element") == "H", 1).otherwise(2)
     listed = counted.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), "element", "n"))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: F.concat(p["element"], F.when(p["n"] == 1, "").otherwise(p["n"].cast("string")))), "")
-    return listed.select(*by, text.alias("formula"), F.transform("parts", lambda p: p["n"]).alias("element_counts"))
+    return listed.select(*by, text.alias("formula"), F.transform("parts", lambda p: p["n"]).alias("element_counts"), F.transform("parts", lambda p: F.struct(p["element"].alias("element"), p["n"].alias("n"))).alias("elements"))
 
 
 def repeat_units(counts: Column, contacts: Column, periodic: Column) -> Column:
