@@ -396,10 +396,10 @@ def unit_type_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("comp_id", rule.alias("sbu_type"))
 
 
-@query("""SELECT l_suppkey AS structure_id, l_returnflag AS element, arg_min(l_partkey, l_orderkey * 10 + l_linenumber) AS first_neighbor, arg_max(l_partkey, l_orderkey * 10 + l_linenumber) AS last_neighbor FROM lineitem GROUP BY 1, 2""")
+@query("""SELECT l_suppkey AS structure_id, l_returnflag AS element, arg_min(l_partkey, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey) AS first_neighbor, arg_max(l_partkey, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey) AS last_neighbor FROM lineitem GROUP BY 1, 2""")
 def first_last_per_group(spark: SparkSession, folder: str) -> DataFrame:
     """A value of the first and of the last member of each group."""
-    at = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    at = F.struct("l_orderkey", "l_linenumber", "l_partkey")
     return table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("structure_id"), F.col("l_returnflag").alias("element")).agg(F.min_by("l_partkey", at).alias("first_neighbor"), F.max_by("l_partkey", at).alias("last_neighbor"))
 
 

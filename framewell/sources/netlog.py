@@ -42,9 +42,9 @@ def space_groups(block: Column) -> Column:
 
 
 def _section(block: Column, heading: str) -> Column:
-    """The indented lines below a heading."""
-    body = F.regexp_extract(block, heading + r"[^\n]*\n((?:[ \t]+[^\n]*\n?)*)", 1)
-    return F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x != "")
+    """The lines below a heading that are indented by four and more."""
+    body = F.regexp_extract(block, heading + r"[^\n]*\n((?:[ \t]{4,}[^\n]*\n?)*)", 1)
+    return F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _numbers(line: Column) -> Column:
@@ -130,5 +130,5 @@ def crystal_text(name: Column, with_centres: bool = True) -> Column:
 
 def crystal_fallback(cgd: Column, name: Column) -> Column:
     """A CRYSTAL block of a periodic graph's lines, its headings dropped, where nothing was relaxed."""
-    rows = F.filter(F.transform(F.split(cgd, "\n"), F.trim), lambda x: (x != "") & ~F.upper(x).rlike("^(PERIODIC_GRAPH|ID|EDGES|END)"))
+    rows = F.filter(F.transform(F.split(cgd, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.upper(x).rlike("^(PERIODIC_GRAPH|ID|EDGES|END)"))
     return F.concat(F.lit("CRYSTAL\n  NAME "), name, F.lit("\n"), F.array_join(F.transform(rows, lambda x: F.concat(F.lit("  "), x)), "\n"), F.lit("\nEND\n"))
