@@ -34,8 +34,8 @@ from framewell.session import cut_lineage
 
 #: Bits of a feature's hash, rounds of training, and one in so many sentences without a toxic token that is trained on.
 BITS, ROUNDS, OTHERS = 16, 80, 6
-#: For a word to be evidence: toxic documents that hold it, in number and as a share (a few copies of one text are no evidence), and the log odds ratio in standard errors and as such.
-HOLD, SHARE, SURE, ODDS = 3, 0.02, 3.5, 1.5
+#: For a word to be evidence: toxic documents that hold it, in number and as a share (a few copies of one text are no evidence), the log likelihood ratio (G) against chance, and the log odds ratio.
+HOLD, SHARE, SURE, ODDS = 3, 0.02, 16.0, 1.5
 #: Lengths of word beginnings that are features and may be evidence.
 BEGINS = (3, 4, 5, 6, 7)
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -205,10 +205,14 @@ def evidence(sample: DataFrame) -> set[str]:
     """Words and beginnings that toxic documents of the sample hold significantly more often; few, as ``SHARE`` decides in Spark."""
     n = {r["label"]: r["n"] for r in sample.groupBy((F.col("label") > 0).alias("label")).agg(F.count("*").alias("n")).collect()}
     held = sample.select("text", "label").mapInArrow(_holders, "word string, toxic long, other long").where("word is not null").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    t, o = F.col("toxic") + 0.5, F.col("other") + 0.5
-    odds = F.log(t / (n.get(True, 0) - F.col("toxic") + 0.5)) - F.log(o / (n.get(False, 0) - F.col("other") + 0.5))
-    error = F.sqrt(1 / t + 1 / o)
-    return {r["word"] for r in held.where((F.col("toxic") >= max(HOLD, SHARE * n.get(True, 0))) & (odds > SURE * error) & (odds > ODDS)).select("word").collect()}
+    t, o, n_t, n_o = F.col("toxic"), F.col("other"), F.lit(float(n.get(True, 0))), F.lit(float(n.get(False, 0)))
+    odds = F.log((t + 0.5) / (n_t - t + 0.5)) - F.log((o + 0.5) / (n_o - o + 0.5))
+
+    def part(seen: Column, row: Column, column: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * (n_t + n_o) / (row * column))).otherwise(0.0)
+
+    g = 2 * (part(t, t + o, n_t) + part(o, t + o, n_o) + part(n_t - t, n_t + n_o - t - o, n_t) + part(n_o - o, n_t + n_o - t - o, n_o))
+    return {r["word"] for r in held.where((t >= max(HOLD, SHARE * n.get(True, 0))) & (g > SURE) & (odds > ODDS)).select("word").collect()}
 
 
 def _examples(lexicon: set[str]):
@@ -226,32 +230,38 @@ def _examples(lexicon: set[str]):
                 truth = known[found.ids] & label[found.docs()]
                 starts, sizes = sentences(found)
                 has = np.add.reduceat(truth, starts) > 0
-                lot = words.mix(np.add.reduceat(words.hashes(found.distinct)[found.ids], starts)) % np.uint64(OTHERS) == 0
+                lot = words.mix(np.add.reduceat(words.hashes(found.distinct)[found.ids], starts) + np.arange(len(starts), dtype=np.uint64)) % np.uint64(OTHERS) == 0
                 rows = [(found.ids[s : s + n], truth[s : s + n]) for s, n in zip(starts[has | lot], sizes[has | lot], strict=True)]
                 yield pa.RecordBatch.from_pydict({"tokens": pa.array([[found.distinct[i] for i in r[0]] for r in rows], pa.list_(pa.string())), "truth": pa.array([r[1].tolist() for r in rows], pa.list_(pa.bool_()))})
 
     return run
 
 
+def tagger(labelled_docs: DataFrame) -> Field:
+    """The field trained on the evidence and sentences of labelled documents."""
+    lexicon = evidence(labelled_docs)
+    rows = labelled_docs.select("text", "label").mapInArrow(_examples(lexicon), "tokens array<string>, truth array<boolean>").collect()
+    if not rows:
+        return Field(np.zeros(1 << BITS), -10.0, np.zeros((2, 2)), np.zeros(2))
+    index: dict[str, int] = {}
+    ids = np.array([index.setdefault(w, len(index)) for r in rows for w in r["tokens"]], np.int64)
+    truth = np.array([t for r in rows for t in r["truth"]], bool)
+    sizes = np.array([len(r["tokens"]) for r in rows], np.int64)
+    return train(list(index), ids, np.cumsum(sizes) - sizes, sizes, truth)
+
+
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, most: int = labelled.MOST) -> Model | float:
-    """Fit on about ``most`` labelled documents: two thirds train the field, the rest the document's score.
+    """Fit on about ``most`` labelled documents.
 
-    Examples reach the driver, and ``most`` bounds them.
+    A field of two thirds of them judges the rest, which gives the weights of a document's
+    score; the field that is kept is trained on all. Examples reach the driver, and ``most`` bounds them.
     """
     sample = labelled.sample(docs, labels, "toxic", keep, most)
     sample = cut_lineage(sample.withColumn("part", labelled.part("doc_id", 3)).repartition(16))
     kinds = {r["label"] for r in sample.select((F.col("label") > 0).cast("double").alias("label")).distinct().collect()}
     if len(kinds) < 2:
         return float(next(iter(kinds), 0.0))
-    fitting = sample.where("part > 0")
-    lexicon = evidence(fitting)
-    rows = fitting.select("text", "label").mapInArrow(_examples(lexicon), "tokens array<string>, truth array<boolean>").collect()
-    index: dict[str, int] = {}
-    ids = np.array([index.setdefault(w, len(index)) for r in rows for w in r["tokens"]], np.int64)
-    truth = np.array([t for r in rows for t in r["truth"]], bool)
-    sizes = np.array([len(r["tokens"]) for r in rows], np.int64)
-    field = train(list(index), ids, np.cumsum(sizes) - sizes, sizes, truth) if len(rows) else Field(np.zeros(1 << BITS), -10.0, np.zeros((2, 2)), np.zeros(2))
-    model = Model(field, np.zeros(4))
+    model = Model(tagger(sample.where("part > 0")), np.zeros(4))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,8 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, most: int = labelled.M
     judged = sample.where("part = 0")
     judged = judged if judged.select((F.col("label") > 0).alias("k")).distinct().count() == 2 else sample
     found = judged.select("text", "label").mapInArrow(summarise, "x array<double>, label double").collect()
-    model.weights = logistic(np.array([r["x"] for r in found]), np.array([float(r["label"] > 0) for r in found]))
-    return model
+    weights = logistic(np.array([r["x"] for r in found]), np.array([float(r["label"] > 0) for r in found]))
+    return Model(tagger(sample), weights)
 
 
 def score(docs: DataFrame, model: Model | float, text: str = "text", out: str = "score", offsets: str = "spans") -> DataFrame:
