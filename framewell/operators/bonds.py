@@ -65,3 +65,23 @@ def overlapping(atoms: DataFrame, bonds: DataFrame, least: float = 0.9) -> DataF
     other = sort.withColumnsRenamed({"i": "j", "h_i": "h_j"})
     near = bonds.where("i < j").join(sort, ["structure_id", "i"]).join(other, ["structure_id", "j"]).groupBy("structure_id").agg(F.bool_or((F.col("h_i") == F.col("h_j")) & (F.col("dist") < least)).alias("near"))
     return atoms.select("structure_id").distinct().join(near, "structure_id", "left").select("structure_id", (~F.coalesce("near", F.lit(False))).alias("clear"))
+
+
+# How much shorter than the sum of radii a double and a triple bond is, and the tolerance of each.
+SHORTER, SKIN = (0.0, 0.15, 0.30), 0.2
+
+
+def orders(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """(structure_id, i, j, sx, sy, sz, bond_order) of covalent bonds by their length.
+
+    The order is that of the shortest of three ranges that holds the distance; hydrogen's is at most 1.
+    Bonds of a metal and hydrogen, of two alkali metals, and of a metal and an alkali metal don't count. Bonds of
+    planar rings aren't set to 1.5 here; ``rings`` tells which bonds these may be.
+    """
+    kind = lambda end: atoms.select("structure_id", F.col("atom_id").alias(end), *(f(F.col("element")).alias(f"{n}_{end}") for n, f in (("r", elements.radius), ("m", elements.is_metal), ("a", elements.is_alkali))), (F.col("element") == "H").alias(f"h_{end}"))
+    met = bonds.join(kind("i"), ["structure_id", "i"]).join(kind("j"), ["structure_id", "j"])
+    reach = F.col("r_i") + F.col("r_j")
+    order = sum((F.when(F.col("dist") < reach - 2 * less + SKIN, 1).otherwise(0) for less in SHORTER[1:]), F.when(F.col("dist") < reach + SKIN, 1).otherwise(0))
+    barred = ((F.col("m_i") & F.col("h_j")) | (F.col("h_i") & F.col("m_j")) | (F.col("m_i") & F.col("a_j")) | (F.col("a_i") & F.col("m_j")))
+    capped = F.when(F.col("h_i") | F.col("h_j"), F.least(order, F.lit(1))).otherwise(order)
+    return met.where(~barred).select("structure_id", "i", "j", "sx", "sy", "sz", capped.cast("double").alias("bond_order")).where("bond_order > 0")

@@ -136,3 +136,54 @@ def unwrapped(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("structure_id", pa.string()), *((c, pa.int32()) for c in ("atom_id", "comp_id", "ix", "iy", "iz")), ("lattice", pa.list_(pa.struct([(x, pa.int32()) for x in "xyz"])))]))
 
     return listed.join(linked, "structure_id", "left").select("structure_id", "atoms", "bonds").mapInArrow(run, schema)
+
+
+def rings(atoms: DataFrame, bonds: DataFrame, largest: int = 10) -> DataFrame:
+    """(structure_id, ring, atoms): the shortest ring through each bond, of at most ``largest`` atoms, that closes in the same cell; equal ones once."""
+    linked = bonds.groupBy("structure_id").agg(F.collect_list(F.struct("i", "j", "sx", "sy", "sz")).alias("bonds"))
+    known = linked.join(atoms.select("structure_id").distinct(), "structure_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: dict[str, list] = {"structure_id": [], "ring": [], "atoms": []}
+            for name, links in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                near: dict[int, list[tuple[int, int, int, int]]] = {}
+                for b in links:
+                    near.setdefault(b["i"], []).append((b["j"], b["sx"], b["sy"], b["sz"]))
+                found = set()
+                for u, ways in near.items():
+                    for v, *s in ways:
+                        if u <= v:
+                            found |= {frozenset(r) for r in _ring(near, u, (v, *s), largest)}
+                for k, ring in enumerate(sorted(map(sorted, found))):
+                    rows["structure_id"].append(name)
+                    rows["ring"].append(k)
+                    rows["atoms"].append(ring)
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("structure_id", pa.string()), ("ring", pa.int32()), ("atoms", pa.list_(pa.int32()))]))
+
+    return known.select("structure_id", "bonds").mapInArrow(run, "structure_id string, ring int, atoms array<int>")
+
+
+def _ring(near: dict[int, list[tuple[int, int, int, int]]], u: int, end: tuple[int, int, int, int], largest: int) -> list[list[int]]:
+    """The atoms of a shortest way from u to the image ``end`` of its neighbour without their bond, if there is one."""
+    start = (u, 0, 0, 0)
+    back: dict[tuple[int, int, int, int], tuple[int, int, int, int] | None] = {start: None}
+    front = [start]
+    for _ in range(largest - 1):
+        further = []
+        for at in front:
+            for v, *s in near.get(at[0], ()):
+                to = (v, at[1] + s[0], at[2] + s[1], at[3] + s[2])
+                if to in back or (at == start and to == end):
+                    continue
+                back[to] = at
+                if to == end:
+                    way = []
+                    step: tuple[int, int, int, int] | None = to
+                    while step:
+                        way.append(step[0])
+                        step = back[step]
+                    return [way]
+                further.append(to)
+        front = further
+    return []

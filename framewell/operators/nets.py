@@ -244,3 +244,19 @@ def net_edges(texts: DataFrame) -> DataFrame:
     """Edges of (structure_id, text) net files."""
     lines = texts.select("structure_id", F.explode(F.split("text", "\n")).alias("line")).select("structure_id", "line", F.regexp_extract_all("line", F.lit(r"(-?\d+)"), F.lit(1)).alias("p")).where((F.size("p") == 5) & F.col("line").rlike(r"^[\s\d-]+$"))
     return edges.canonical(lines.select("structure_id", (F.col("p")[0].cast("int") - 1).alias("u"), (F.col("p")[1].cast("int") - 1).alias("v"), *(F.col("p")[k + 2].cast("int").alias(s) for k, s in enumerate(SHIFT))))
+
+
+def replicas(centres: DataFrame, found: DataFrame, cells: tuple[int, int, int] = (1, 1, 1)) -> tuple[DataFrame, DataFrame]:
+    """Markers and line segments, in fractional coordinates, of a net drawn over so many cells: (structure_id, node, kind, fx, fy, fz) and both ends of each edge."""
+    cell = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(f"c{x}") for n, x in zip(cells, "xyz", strict=True)]
+
+    def spread(rows: DataFrame) -> DataFrame:
+        for one in cell:
+            rows = rows.select("*", one)
+        return rows
+
+    markers = spread(centres).select("structure_id", "node", "kind", *((F.col(f"f{x}") + F.col(f"c{x}")).alias(f"f{x}") for x in "xyz"))
+    end = lambda e: centres.select("structure_id", F.col("node").alias(e), *(F.col(f"f{x}").alias(f"{e}{x}") for x in "xyz"))
+    lines = spread(found.join(end("u"), ["structure_id", "u"]).join(end("v"), ["structure_id", "v"]))
+    ends = [(F.col(f"u{x}") + F.col(f"c{x}")).alias(f"from_{x}") for x in "xyz"] + [(F.col(f"v{x}") + F.col(f"s{x}") + F.col(f"c{x}")).alias(f"to_{x}") for x in "xyz"]
+    return markers, lines.select("structure_id", "u", "v", *ends)

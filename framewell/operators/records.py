@@ -37,3 +37,11 @@ def summary(rows: DataFrame, result: str, bulky: list[str]) -> DataFrame:
 def unique(rows: DataFrame, ignored: list[str]) -> DataFrame:
     """Rows without the ignored columns, each once."""
     return rows.drop(*ignored).dropDuplicates()
+
+
+def first_hit(rows: DataFrame, key: str, keys: Column, dictionary: DataFrame) -> DataFrame:
+    """(key, name): the name under the first of a row's keys that the dictionary (key, name) has, null without one."""
+    asked = rows.select(F.col(key).alias("_row"), F.posexplode(keys).alias("_ord", "_key"))
+    met = asked.join(dictionary.select(F.col("key").alias("_key"), "name"), "_key", "left")
+    found = met.groupBy("_row").agg(F.min_by("name", F.when(F.col("name").isNotNull(), F.col("_ord"))).alias("name"))
+    return found.withColumnRenamed("_row", key)

@@ -202,3 +202,16 @@ def wrapped(atoms: DataFrame, members: DataFrame) -> DataFrame:
 def separated(cut: Cut) -> DataFrame:
     """Edges between the components of a cut, each once."""
     return edges.between_components(cut.cuts, cut.members)
+
+
+def dummies(cut: Cut, atoms: DataFrame) -> DataFrame:
+    """(structure_id, comp_id, atom_id, x, y, z): for each point of extension of a component a dummy where the atom beyond the cut is."""
+    images = cut.members.select("structure_id", "atom_id", "comp_id", *(f"i{x}" for x in "xyz"))
+    once = cut.cuts.select("structure_id", "i", "j", *edges.SHIFT).distinct()
+    both = edges.both_ways(once, "i", "j").distinct()
+    own = both.join(images.withColumnRenamed("atom_id", "i"), ["structure_id", "i"])
+    far = atoms.select("structure_id", F.col("atom_id").alias("j"), "fx", "fy", "fz", "cell")
+    met = own.join(far, ["structure_id", "j"])
+    place = [F.col(f"f{x}") + F.col(f"s{x}") + F.col(f"i{x}") for x in "xyz"]
+    xyz = [place[0] * F.col("cell")[0][k] + place[1] * F.col("cell")[1][k] + place[2] * F.col("cell")[2][k] for k in range(3)]
+    return met.select("structure_id", "comp_id", F.col("i").alias("atom_id"), *(p.alias(x) for p, x in zip(xyz, "xyz", strict=True)))

@@ -264,3 +264,10 @@ def cssr_text(atoms: DataFrame) -> DataFrame:
 def write_texts(texts: DataFrame, path: str) -> None:
     """One folder of a text file for each structure."""
     texts.select("structure_id", "text").write.partitionBy("structure_id").mode("overwrite").text(path)
+
+
+def json_text(atoms: DataFrame) -> DataFrame:
+    """(structure_id, text): JSON with labels, positions, lattice vectors, periodicity and number of atoms."""
+    rows = atoms.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("atom_id", "element", F.array("x", "y", "z").alias("p")))).alias("a"), F.any_value("cell").alias("lattice_vectors"), F.any_value("pbc").alias("periodic"))
+    fields = F.struct(F.transform("a", lambda a: a["element"]).alias("labels"), "lattice_vectors", F.size("a").alias("n_atoms"), "periodic", F.transform("a", lambda a: a["p"]).alias("positions"))
+    return rows.select("structure_id", F.to_json(fields).alias("text"))
