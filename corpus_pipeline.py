@@ -17,16 +17,24 @@ from framewell.llm.queries import table, tokenizer_path
 from framewell.session import checkpoint_dir, reach
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it no column's."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from the folds 0 and 2 of 3, doesn't reject."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), labelled.fold(F.col("doc_id"), 3) != 1)
-    return quality.score(docs, model, out="_quality").where("_quality >= 0.5").select(*docs.columns)
+    name = unused(docs, "quality")
+    return quality.score(docs, model, out=name).where(F.col(name) >= 0.5).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that an earlier document holds; n_chars follows."""
-    kept = linededup.dedup(docs, n_lines="_lines", n_dropped="_dropped").drop("_lines", "_dropped")
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else kept
+    kept = linededup.dedup(docs, n_lines=unused(docs, "n_lines"), n_dropped=unused(docs, "n_dropped")).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
