@@ -11,10 +11,12 @@ similarity as probability. A process stops once it is later than all slots.
 Texts of the same words are one node. Nodes that agree in all slots of a band
 share its bucket. Nodes of a bucket are ranked by the sum of their buckets'
 sizes (what is closest to all others comes first), and each is compared
-with the bucket's first ``CENTRES``; so buckets of one more are compared in
-full, and large ones without all their pairs. The overlap of shingle multisets is then counted
-exactly; pairs with a similarity of at least the threshold are links,
-and connected components of links are the classes.
+with the bucket's first ``CENTRES``; so buckets of one node more are compared in
+full. The overlap of shingle multisets is counted exactly; pairs with a
+similarity of at least the threshold are links, and connected components of
+links are the classes. What is left in larger buckets, nodes outside the
+most frequent component, is compared with all of the bucket's other components,
+in blocks.
 
 Cases: null and empty texts have no words and are classes by themselves
 each; shorter texts than a shingle are one shingle; copies share a class; a row
@@ -41,6 +43,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: 24 bands of 4 slots miss a pair of similarity 0.8 with a probability of 0.000003.
 BANDS, WIDE, CENTRES = 24, 4, 8
 SLOTS = BANDS * WIDE
+#: Shingles that a block of a large bucket's leftovers, and of its members, has on average at most.
+LEFT, MEMBERS = 100_000, 400_000
 #: Bits of a shingle's hash within a document.
 KEEP = 44
 
@@ -174,38 +178,104 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = both[1:][both[1:] == both[:-1]] >> 32
             shared = np.bincount(same, minlength=some.num_rows)
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(shared / np.maximum(nx + ny - shared, 1))], names=["a", "b", "similarity"])
+        words.release()
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes to compare, of sizes that allow the threshold."""
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, n, size, weight) of buckets with two nodes and more; weight is the sum of the sizes of a node's buckets."""
     members = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = cut_lineage(members.join(sizes, "bucket"))
-    ranked = shared.join(shared.groupBy("node").agg(F.sum("size").alias("weight")), "node")
+    return cut_lineage(shared.join(shared.groupBy("node").agg(F.sum("size").alias("weight")), "node"))
+
+
+def candidates(shared: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a node and a centre of one of its buckets, of sizes that allow the threshold."""
     place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("weight").desc(), "node"))
-    centres = ranked.withColumn("place", place).where(F.col("place") <= CENTRES).select("bucket", F.col("node").alias("centre"), F.col("n").alias("of"))
-    met = ranked.join(centres, "bucket").where((F.col("node") != F.col("centre")) & (F.least("n", "of") >= THRESHOLD * F.greatest("n", "of")))
-    return met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    first = shared.withColumn("place", place).where(F.col("place") <= CENTRES).groupBy("bucket").agg(F.collect_list(F.struct("node", "n")).alias("centres"))
+    met = shared.join(first, "bucket").groupBy("node", "n").agg(F.array_distinct(F.flatten(F.collect_list("centres"))).alias("centres"))
+    pairs = met.select("node", "n", F.explode(F.filter("centres", lambda c: (c["node"] != F.col("node")) & (F.least(c["n"], F.col("n")) >= THRESHOLD * F.greatest(c["n"], F.col("n"))))).alias("c"))
+    return pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
-def links(docs: DataFrame, nodes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b, similarity) of compared nodes whose multisets overlap enough."""
-    pairs = cut_lineage(candidates(nodes))
-    met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def bags_of(docs: DataFrame, nodes: DataFrame, met: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, bag) of the nodes that ``met`` lists; only their first documents' texts are shuffled."""
     rows = nodes.join(met, "node").select(F.col("first.doc_id").alias("_id"), F.col("first.body").alias("_body"))
     texts = docs.select(F.col(doc_id).alias("_own"), F.col(text).alias("text")).join(rows, F.col("_own").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_body")))
-    bag = cut_lineage(bags(texts).where("node is not null"))
+    return cut_lineage(bags(texts).where("node is not null").dropDuplicates(["node"]))
+
+
+def verified(pairs: DataFrame, bag: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose multisets overlap enough."""
     both = pairs.join(bag.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a").join(bag.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
     found = both.select("a", "b", "bag_a", "bag_b").mapInArrow(_overlap, "a binary, b binary, similarity double")
-    return found.where(F.col("similarity") >= THRESHOLD)
+    return found.where(F.col("similarity") >= THRESHOLD).select("a", "b")
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the leftovers and the members of a block that share a bucket and are in different components."""
+    for batch in batches:
+        for left, members in zip(batch.column(0), batch.column(1), strict=True):
+            left, members = left.as_py(), members.as_py()
+            x, y = (np.array([m["bands"] for m in side], np.int64).reshape(-1, BANDS) for side in (left, members))
+            n = np.array([m["n"] for m in members])
+            bag = [np.array(m["bag"], np.int32) for m in members]
+            kin: dict[bytes, int] = {}
+            comp = np.array([kin.setdefault(m["comp"], len(kin)) for m in members])
+            names: list[tuple[bytes, bytes]] = []
+            for k, own in enumerate(left):
+                mine, there = np.array(own["bag"], np.int32), kin.get(own["comp"], -1)
+                worth = (y == x[k]).any(axis=1) & (comp != there) & (np.minimum(n, own["n"]) >= THRESHOLD * np.maximum(n, own["n"]))
+                for at in np.flatnonzero(worth):
+                    shared = len(np.intersect1d(mine, bag[at], assume_unique=True))
+                    if shared >= THRESHOLD * (len(mine) + len(bag[at]) - shared):
+                        names.append((min(own["node"], members[at]["node"]), max(own["node"], members[at]["node"])))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in names], pa.binary()), "b": pa.array([b for _, b in names], pa.binary())})
+        words.release()
+
+
+def remaining(large: DataFrame, roots: DataFrame, nodes: DataFrame, bag: DataFrame) -> DataFrame:
+    """Links (a, b) that comparing with centres left out: in a large bucket, of nodes outside its most frequent component with all others.
+
+    Buckets of one most frequent component are one family, so a node's bag moves once for it. A family's nodes are dealt to
+    blocks by a hash; each block of leftovers meets each block of members in a row of its own, so no task holds a family.
+    """
+    members = large.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("comp"))
+    kinds = members.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    facts = kinds.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("bucket", "main")
+    family = cut_lineage(members.join(facts, "bucket").select("main", "node", "n", "comp").distinct())
+    sums = family.groupBy("main").agg(F.sum("n").alias("every"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("n"))).alias("outside"))
+    blocks = sums.select("main", F.ceil(F.col("outside") / LEFT).cast("int").alias("nl"), F.ceil(F.col("every") / MEMBERS).cast("int").alias("nm"))
+    row = F.struct("node", "comp", "n", "bands", "bag").alias("row")
+    full = cut_lineage(family.join(blocks, "main").join(bag, "node").join(nodes.select("node", "bands"), "node").select("main", "nl", "nm", (F.col("comp") != F.col("main")).alias("out"), F.xxhash64(F.lit("block"), "node").alias("lot"), row))
+    steps = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = full.where("out").select("main", F.pmod("lot", "nl").cast("int").alias("l"), steps("nm").alias("m"), "row").groupBy("main", "l", "m").agg(F.collect_list("row").alias("left"))
+    right = full.select("main", steps("nl").alias("l"), F.pmod("lot", "nm").cast("int").alias("m"), "row").groupBy("main", "l", "m").agg(F.collect_list("row").alias("members"))
+    return left.join(right, ["main", "l", "m"]).select("left", "members").mapInArrow(_across, "a binary, b binary").distinct()
+
+
+def links(docs: DataFrame, nodes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b), and (node, root) of the components that they make."""
+    shared = shared_buckets(nodes)
+    pairs = cut_lineage(candidates(shared))
+    large = cut_lineage(shared.where(F.col("size") > CENTRES + 1).select("bucket", "node", "n"))
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")).distinct()
+    bag = bags_of(docs, nodes, met, doc_id, text)
+    found = cut_lineage(verified(pairs, bag).distinct())
+    roots = components.connected(found, "a", "b")
+    if not large.isEmpty():
+        more = cut_lineage(remaining(large, roots, nodes, bag))
+        if not more.isEmpty():
+            found = cut_lineage(found.unionByName(more).distinct())
+            roots = components.connected(found, "a", "b")
+    return found, roots
 
 
 def classed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, body, class, links) of each document: the class's node (the text's own hash where there are no words), and the number of texts that its text links to."""
+    """(doc_id, body, class, links) of each document: the class's node (the text's own hash where there are no words), and the number of links found from its text to others."""
     sketched = cut_lineage(sketch(docs, doc_id, text))
     nodes = cut_lineage(sketched.where("node is not null").groupBy("node").agg(_first().alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
-    found = cut_lineage(links(docs, nodes, doc_id, text).select("a", "b").distinct())
-    roots = components.connected(found, "a", "b")
+    found, roots = links(docs, nodes, doc_id, text)
     degree = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
     known = sketched.select("doc_id", "body", "node").join(roots.join(degree, "node"), "node", "left")
     return known.select("doc_id", "body", "node", F.coalesce("root", "node").alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
