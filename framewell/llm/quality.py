@@ -32,7 +32,7 @@ PLAIN = ".,;:!?'\"-()"
 
 def _classes() -> np.ndarray:
     """Class of each byte: lower, upper, digit, blank, newline, plain punctuation, other ASCII, beyond ASCII."""
-    kind = np.full(256, 6, np.int64)
+    kind = np.full(256, 6, np.int32)
     kind[128:] = 7
     for k, chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r", "\n", PLAIN)):
         kind[[ord(c) for c in chars]] = k
@@ -47,9 +47,10 @@ def statistics(column: pa.Array) -> np.ndarray:
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     n_docs, size = len(column), np.maximum(np.diff(ends), 1)
-    doc = np.repeat(np.arange(n_docs), np.diff(ends))
-    kinds = np.bincount(doc * 8 + KINDS[data[ends[0] : ends[-1]]], minlength=8 * n_docs).reshape(n_docs, 8) / size[:, None]
-    del doc
+    place = np.repeat(np.arange(0, 8 * n_docs, 8, dtype=np.int32), np.diff(ends))
+    place += KINDS[data[ends[0] : ends[-1]]]
+    kinds = np.bincount(place, minlength=8 * n_docs).reshape(n_docs, 8) / size[:, None]
+    del place
     found = words.split(column)
     n = np.maximum(found.counts, 1)
     about = np.array([(len(w), w.isupper(), w[0].isupper(), not any(map(str.isalpha, w)), w[-1] in ".!?", not w[-1].isalnum(), len(words.bare(w)) <= 3) for w in found.distinct], np.float64).reshape(-1, 7)

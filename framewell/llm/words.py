@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -9,9 +10,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that are handled together; one longer text is handled alone.
-BYTES = 6_000_000
+BYTES = 3_000_000
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -40,6 +42,7 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
         if end > at:
             yield batch.slice(at, end - at)
             at = end
+    release()
 
 
 def texts(batch: pa.RecordBatch, text: str) -> pa.Array:
@@ -93,9 +96,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def hashes(distinct: list[str]) -> np.ndarray:
     """64-bit hashes of strings, the same in every process."""
-    from pandas.util import hash_array
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
 
-    return hash_array(np.array(distinct, dtype=object), categorize=False) if distinct else np.zeros(0, np.uint64)
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers wait between tasks, and others need it meanwhile."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def per_document(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
