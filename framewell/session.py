@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +32,28 @@ def reach(spark: SparkSession) -> None:
         held["PYTHONPATH"] = os.pathsep.join(filter(None, [place, held.get("PYTHONPATH")]))
 
 
+#: Seconds between two collections of the driver's garbage at least, and when the last one was.
+PAUSE, _last = 2.0, [0.0]
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files and checkpoints that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which a driver with little to do seldom does by
+    itself, so a loop of shuffles would fill the disks.
+    """
+    if time.monotonic() - _last[0] >= PAUSE:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _last[0] = time.monotonic()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return a frame that reads it."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    tidy(df.sparkSession)
+    return kept
 
 
 def partitions(spark: SparkSession) -> int:
