@@ -15,7 +15,7 @@ Cases: null text counts as empty; empty text has no tokens; repeated rows are
 encoded each by itself; an empty table gives an empty result; a column whose
 name an output takes is replaced, other columns pass unchanged. Texts of any
 length are encoded whole; memory is bounded by the text of ``ROWS`` rows or
-one row and by ``CACHE`` words, whose encodings a task keeps.
+one row and by ``CACHE`` words, whose encodings a Python worker keeps.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ from pyspark.sql import types as T
 
 from framewell.llm.words import release
 
-#: Rows and characters encoded together, and words whose encodings a task keeps.
-ROWS, CHARS, CACHE = 512, 1_000_000, 200_000
+#: Rows and characters encoded together, and words whose encodings a Python worker keeps.
+ROWS, CHARS, CACHE = 512, 1_000_000, 300_000
 #: Fixed value: the pre-tokenizer of byte-level BPE.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A token that no merge consumes or makes.
@@ -233,7 +233,6 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids",
                 columns = [batch.column(batch.schema.get_field_index(c)).slice(start, len(texts)) for c in rest]
                 columns += [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(found, pa.int32())), pa.array(np.diff(starts), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(bpe.decode_batch(found, starts), pa.string())] if decoded else []), names=rest + list(new))
-        bpe.forget()
         release()
 
     return df.mapInArrow(run, _with(df.schema, **new))
