@@ -6,12 +6,13 @@ softmax gives the probability of the word's class. Within its class a word has
 its share of the class's occurrences in the whole corpus. The sum of the
 logarithms over all words of a text is its pseudo-log-likelihood.
 
-Counts cover every word of every document; each partition counts its own, sums
-are aggregated. Words stand for themselves by one of 2 ** ``BITS`` hashes, so
-counts and network have a fixed size whatever the vocabulary. The network is
-trained where the data are: every partition trains on one in ``TAKE`` of
-its words from the current weights, and the partitions' weights are averaged by
-the words they saw, in ``ROUNDS`` rounds on other words each.
+Counts cover every word of every document, by the word (a 64-bit hash), in a
+distributed table. Its about ``HEAD`` most frequent words are held by the model;
+all others share classes and inputs by one of 2 ** ``BITS`` buckets, and their
+own counts are joined when texts are scored. The network is trained where the
+data are, on every word: in each of ``ROUNDS`` rounds every partition trains on
+the round's share of its words from the current weights, and the partitions'
+weights are averaged by the words they saw.
 
 Cases: null and empty texts, and texts without words, have no words, a
 pseudo-log-likelihood of 0 and a null mean; repeated rows get the same result;
@@ -31,11 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewell.llm import words
+from framewell.session import cut_lineage
 
 BITS, SIDE, HIDDEN = 16, 2, 24
 #: Classes that the softmax knows and inputs that are embedded: frequent words have their own, the rest share the last ones.
 CLASSES, SHARED_CLASSES, INPUTS, SHARED_INPUTS = 128, 32, 1024, 64
-TAKE, ROUNDS, RATE, BATCH, SEED = 32, 2, 0.15, 256, 13
+ROUNDS, RATE, BATCH, SEED = 2, 0.15, 256, 13
+#: Frequent words that the model holds itself, at most (but INPUTS at least); the counts of others are joined.
+HEAD = 1 << 16
 #: Partitions that sum the weights of all others.
 SUMS = 8
 PLACES = [k for k in range(-SIDE, SIDE + 1) if k]
@@ -48,23 +52,36 @@ def buckets(found: words.Words) -> np.ndarray:
 
 @dataclass
 class Vocabulary:
-    """Class, input and log share within the class, of each bucket."""
+    """Class, input and log share within the class, of each known word and then each bucket of others; sorted hashes of the known ones, and the log weight of each row."""
 
     classes: np.ndarray
     inputs: np.ndarray
     share: np.ndarray
+    known: np.ndarray
+    weight: np.ndarray
+
+    def rows(self, found: words.Words) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each word, and the hash of each distinct word."""
+        keys = words.hashes(found.distinct)
+        rows = (keys >> np.uint64(64 - BITS)).astype(np.int64) + len(self.known)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+            rows = np.where(self.known[at] == keys, at, rows)
+        return rows[found.ids] if len(found.ids) else np.zeros(0, np.int64), keys
 
     @staticmethod
-    def of(counts: np.ndarray) -> Vocabulary:
+    def of(counts: np.ndarray, known: np.ndarray | None = None) -> Vocabulary:
+        """From the counts of the known words and then of all buckets; known words rank before buckets."""
+        known = np.zeros(0, np.uint64) if known is None else known
         rank = np.empty(len(counts), np.int64)
-        rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+        rank[np.lexsort((-counts, np.arange(len(counts)) >= len(known)))] = np.arange(len(counts))
 
         def grouped(n: int, shared: int) -> np.ndarray:
             return np.where(rank < n - shared, rank, n - shared + rank % shared)
 
         classes = grouped(CLASSES, SHARED_CLASSES)
         smooth = counts + 0.5
-        return Vocabulary(classes, grouped(INPUTS, SHARED_INPUTS), np.log(smooth / np.bincount(classes, weights=smooth)[classes]))
+        return Vocabulary(classes, grouped(INPUTS, SHARED_INPUTS), np.log(smooth / np.bincount(classes, weights=smooth)[classes]), known, np.log(smooth))
 
 
 @dataclass
@@ -120,12 +137,13 @@ class Network:
             for x, s, g in ((self.out, squares[2], h.T @ d), (self.bias, squares[3], d.sum(axis=0)), (self.hidden, squares[1], dh.sum(axis=0))):
                 s += g * g
                 x -= RATE * g / np.sqrt(s)
-            for place in range(len(PLACES)):
-                used, at = np.unique(c[:, place], return_inverse=True)
-                g = np.zeros((len(used), HIDDEN), np.float32)
-                np.add.at(g, at, dh)
-                squares[0][place, used] += g * g
-                self.embed[place, used] -= RATE * g / np.sqrt(squares[0][place, used])
+            flat = (c + np.arange(len(PLACES)) * (INPUTS + 1)).astype(np.int16).ravel()
+            sort = np.argsort(flat, kind="stable")
+            first = np.flatnonzero(np.diff(flat[sort], prepend=-1))
+            used, g = flat[sort[first]].astype(np.int64), np.add.reduceat(dh[sort // len(PLACES)], first, axis=0)
+            s = squares[0].reshape(-1, HIDDEN)[used] + g * g
+            squares[0].reshape(-1, HIDDEN)[used] = s
+            self.embed.reshape(-1, HIDDEN)[used] -= RATE * g / np.sqrt(s)
 
 
 def contexts(inputs: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -140,39 +158,84 @@ def contexts(inputs: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarr
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, n) of all words of a partition."""
-    n = np.zeros(1 << BITS, np.int64)
+    """(word, n) of all words, for each slice of a partition."""
     for batch in batches:
         for some in words.slices(batch, "text"):
-            n += np.bincount(buckets(words.normal(words.split(words.texts(some, "text")))), minlength=1 << BITS)
-    used = np.flatnonzero(n)
-    yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int64()), "n": pa.array(n[used], pa.int64())})
+            found = words.normal(words.split(words.texts(some, "text")))
+            n = np.bincount(found.ids, minlength=len(found.distinct)) if len(found.ids) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_pydict({"word": pa.array(words.hashes(found.distinct).view(np.int64)), "n": pa.array(n, pa.int64())})
+
+
+def turns(own: np.ndarray) -> np.ndarray:
+    """The round that trains on each word."""
+    return (words.mix(words.mix(own.astype(np.uint64)) + np.arange(len(own), dtype=np.uint64)) % np.uint64(ROUNDS)).astype(np.int64)
 
 
 @dataclass
 class Model:
+    """Vocabulary and network; the counts (word, n) of all words, and how many words the network was trained on."""
+
     vocabulary: Vocabulary
     network: Network
+    counts: DataFrame | None = None
+    trained: int = 0
 
-    def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Pseudo-log-likelihood and number of words of each text."""
+    def parts(self, column: pa.Array) -> tuple[np.ndarray, words.Words, np.ndarray, np.ndarray]:
+        """The logarithm of each word's probability, where words that aren't known count as their bucket; the words, their rows, and the distinct ones' hashes."""
         found = words.normal(words.split(column))
-        own = buckets(found)
+        own, keys = self.vocabulary.rows(found)
         inputs, truth, each = self.vocabulary.inputs[own], self.vocabulary.classes[own], self.vocabulary.share[own]
         for k in range(0, len(own), 8192):
             at = np.arange(k, min(k + 8192, len(own)))
             each[at] += self.network.log_probabilities(contexts(inputs, found.starts, at))[at - k, truth[at]]
+        return each, found, own, keys
+
+    def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Pseudo-log-likelihood and number of words of each text, with words that aren't known as their bucket."""
+        each, found, _, _ = self.parts(column)
         return words.per_document(each, found.starts), found.counts
 
+    def rest(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Pseudo-log-likelihood but for the counts of words that aren't known, number of words, and a list of these words' hashes, of each text."""
+        each, found, own, keys = self.parts(column)
+        other = own >= len(self.vocabulary.known)
+        each[other] -= self.vocabulary.weight[own[other]]
+        ends = np.concatenate([[0], np.cumsum(other)])[found.starts]
+        hashes = keys[found.ids[other]] if len(own) else keys
+        return words.per_document(each, found.starts), found.counts, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)))
+
+
+def frequent(counts: DataFrame) -> dict[int, int]:
+    """Counts of the INPUTS most frequent words, and of all whose count reaches the least level that at most HEAD words do."""
+    level = F.floor(F.log2("n") * 16)
+    sizes = sorted(((r["level"], r["words"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()), reverse=True)
+    reach = np.flatnonzero(np.cumsum([n for _, n in sizes]) <= HEAD)
+    rows = counts.orderBy(F.desc("n"), "word").limit(INPUTS).collect()
+    if len(reach):
+        rows += counts.where(level >= sizes[reach[-1]][0]).collect()
+    return {r["word"]: r["n"] for r in rows}
+
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
     """Count and train over all documents."""
     given = docs.select(F.col(text).alias("text"))
-    rows = given.mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(1 << BITS)
-    counts[[r["bucket"] for r in rows]] = [r["n"] for r in rows]
-    vocabulary = Vocabulary.of(counts)
+    table = cut_lineage(given.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    head = frequent(table)
+    known, n = np.array(list(head), np.int64).view(np.uint64), np.array(list(head.values()), np.float64)
+    order = np.argsort(known)
+    known = known[order]
+    counts = np.concatenate([n[order], np.zeros(1 << BITS)])
+    bucket = F.shiftrightunsigned("word", 64 - BITS).cast("int")
+    for r in table.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        counts[len(known) + r["bucket"]] = r["n"] + (r["words"] - 1) / 2
+    # of the buckets' sums, what known words have
+    gone = (known >> np.uint64(64 - BITS)).astype(np.int64)
+    np.add.at(counts, len(known) + gone, -n[order] - 0.5)
+    tail = counts[len(known) :]
+    tail[tail < 0] = 0
+    vocabulary = Vocabulary.of(counts, known)
     network = Network.new(vocabulary, counts)
+    trained = 0
     for turn in range(ROUNDS):
         shared = docs.sparkSession.sparkContext.broadcast((vocabulary, network.flat()))
 
@@ -182,9 +245,8 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
             for batch in batches:
                 for some in words.slices(batch, "text"):
                     found = words.normal(words.split(words.texts(some, "text")))
-                    own = buckets(found)
-                    pick = words.mix(words.mix(own.astype(np.uint64)) + np.arange(len(own), dtype=np.uint64)) % np.uint64(TAKE)
-                    at = np.flatnonzero(pick == turn)
+                    own, _ = vocabulary.rows(found)
+                    at = np.flatnonzero(turns(own) == turn)
                     if len(at):
                         network.learn(contexts(vocabulary.inputs[own], found.starts, at), vocabulary.classes[own][at])
                         seen += len(at)
@@ -201,23 +263,35 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
 
         parts = given.mapInArrow(train, "seen long, weights binary").repartition(SUMS).mapInArrow(add, "seen long, weights binary").collect()
         if parts:
-            network = Network.shaped(sum(np.frombuffer(p["weights"]) for p in parts) / sum(p["seen"] for p in parts))
-    return Model(vocabulary, network)
+            seen = sum(p["seen"] for p in parts)
+            network, trained = Network.shaped(sum(np.frombuffer(p["weights"]) for p in parts) / seen), trained + seen
+    return Model(vocabulary, network, table, trained)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Documents with ``n_words``, ``log_likelihood`` and its ``mean_log_likelihood`` per word added."""
+def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """Documents with ``n_words``, ``log_likelihood`` and its ``mean_log_likelihood`` per word added; without the text if it isn't to be kept."""
     new = {"n_words": T.LongType(), "log_likelihood": T.DoubleType(), "mean_log_likelihood": T.DoubleType()}
-    rest = [f for f in docs.schema.fields if f.name not in new]
+    rest = [f for f in docs.schema.fields if f.name not in new and (keep_text or f.name != text)]
     names = [f.name for f in rest]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(Model(model.vocabulary, model.network))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for some in words.slices(batch, text):
-                total, n = model.score(words.texts(some, text))
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([*(some.column(some.schema.get_field_index(c)) for c in names), pa.array(n, pa.int64()), pa.array(total), mean], names=[*names, *new])
-
-    return docs.mapInArrow(run, T.StructType([*rest, *(T.StructField(k, v) for k, v in new.items())]))
+                total, n, others = model.rest(words.texts(some, text))
+                given = pa.StructArray.from_arrays([some.column(some.schema.get_field_index(c)) for c in names], names=names) if names else pa.nulls(some.num_rows, pa.struct([]))
+                yield pa.RecordBatch.from_arrays([given, pa.array(n, pa.int64()), pa.array(total), others], names=["row", "n", "part", "others"])
+
+    kind = T.StructType([T.StructField("row", T.StructType(rest)), T.StructField("n", T.LongType()), T.StructField("part", T.DoubleType()), T.StructField("others", T.ArrayType(T.LongType()))])
+    held = cut_lineage(docs.mapInArrow(run, kind)).withColumn("at", F.monotonically_increasing_id())
+    lone = held.select("at", F.explode("others").alias("word")).groupBy("at", "word").agg(F.count("*").alias("times"))
+    if model.counts is not None:
+        lone = lone.join(model.counts.select("word", F.col("n").alias("own")), "word", "left")
+    else:
+        lone = lone.withColumn("own", F.lit(0))
+    terms = F.array_sort(F.collect_list(F.col("times") * F.log(F.coalesce("own", F.lit(0)) + 0.5)))  # in order, so that equal texts get equal sums
+    more = lone.groupBy("at").agg(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x).alias("more"))
+    whole = F.col("part") + F.coalesce("more", F.lit(0.0))
+    mean = F.when(F.col("n") > 0, whole / F.col("n"))
+    return held.join(more, "at", "left").select(*(F.col("row").getField(c).alias(c) for c in names), F.col("n").alias("n_words"), whole.alias("log_likelihood"), mean.alias("mean_log_likelihood"))

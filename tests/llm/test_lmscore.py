@@ -51,3 +51,30 @@ def test_cases(spark):
     rows = lmscore.score(docs, model).collect()
     assert [(r["doc_id"], r["n_words"], r["mean_log_likelihood"] is None) for r in sorted(rows, key=lambda r: r["doc_id"])] == [(1, 0, True), (2, 0, True), (3, 0, True), (4, 3, False), (4, 3, False)]
     assert lmscore.score(docs.where("false"), lmscore.fit(docs.where("false"))).count() == 0
+
+
+def test_every_word_is_trained_on_and_counted_by_itself(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "HEAD", 0, raising=False)
+    texts = [f"w{k}" for k in range(3000) for _ in range(1 + k % 7)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lmscore.fit(docs)
+    assert model.trained == len(texts)
+    got = {r["text"]: r["log_likelihood"] for r in lmscore.score(docs, model).collect()}
+    by: dict[int, list[int]] = {}
+    for k in range(3000):
+        own, _ = model.vocabulary.rows(words.normal(words.split(pa.array([f"w{k}"]))))
+        by.setdefault(int(model.vocabulary.classes[own[0]]), []).append(k)
+    for members in by.values():
+        a = members[0]
+        for b in members[1:]:
+            assert abs(got[f"w{a}"] - got[f"w{b}"] - np.log((1.5 + a % 7) / (1.5 + b % 7))) < 1e-4
+
+
+def test_a_rare_word_does_not_take_the_count_of_a_frequent_one(spark):
+    frequent = "often"
+    place = int(words.hashes([frequent])[0]) >> (64 - lmscore.BITS)
+    names = [f"r{k}" for k in range(1_000_000)]
+    rare = names[int(np.flatnonzero((words.hashes(names) >> np.uint64(64 - lmscore.BITS)) == place)[0])]
+    docs = spark.createDataFrame([(k, frequent) for k in range(500)] + [(500, rare)], "doc_id long, text string")
+    got = {r["text"]: r["log_likelihood"] for r in lmscore.score(docs, lmscore.fit(docs)).collect()}
+    assert got[frequent] > got[rare] + 1
