@@ -2,7 +2,7 @@
 
 Items and texts are sequences of words (lower case, without surrounding
 punctuation). For each item a document is looked at in windows of as many
-words. A CGK embedding walks along a window with random steps of 0 or 1 that
+words, and in shorter ones at its end that lack no more words than may be edited. A CGK embedding walks along a window with random steps of 0 or 1 that
 depend on the word under it; it maps a small edit distance to a small Hamming
 distance. ``WALKS`` walks are drawn; in each, ``PICKS`` random places of the
 embedding name a bucket, and a window that shares a bucket with an item of its
@@ -43,13 +43,13 @@ BLOCK = 16_000_000
 FOUND = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("distance", T.IntegerType())])
 
 
-def embed(tokens: np.ndarray, starts: np.ndarray, size: int, places: np.ndarray) -> np.ndarray:
-    """Bucket names (walks x windows) of the windows of ``size`` tokens at ``starts``: hashes of each CGK walk's words at its row of ``places``."""
+def embed(tokens: np.ndarray, starts: np.ndarray, held: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Bucket names (walks x windows) of the windows of ``held`` tokens each at ``starts``: hashes of each CGK walk's words at its row of ``places``."""
     walks = np.arange(1, len(places) + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
     at = np.zeros((len(places), len(starts)), np.int64)
     names = np.broadcast_to(walks, at.shape).copy()
     for step in range(int(places.max()) + 1):
-        under = np.where(at < size, tokens[starts + np.minimum(at, size - 1)], np.uint64(0))
+        under = np.where(at < held, tokens[starts + np.minimum(at, held - 1)], np.uint64(0))
         here = (places == step).any(axis=1)
         if here.any():
             names[here] = words.mix(names[here] ^ under[here]) + np.uint64(step)
@@ -57,10 +57,11 @@ def embed(tokens: np.ndarray, starts: np.ndarray, size: int, places: np.ndarray)
     return names
 
 
-def varied(tokens: np.ndarray, known: np.ndarray, starts: np.ndarray, size: int, least: int) -> np.ndarray:
-    """The windows with at least so many different known words."""
+def varied(tokens: np.ndarray, known: np.ndarray, starts: np.ndarray, stops: np.ndarray, size: int, least: int) -> np.ndarray:
+    """The windows of ``size`` words, or up to their stop, with at least so many different known words."""
     at = starts[:, None] + np.arange(size)
-    held = np.where(known[at] > 0, tokens[at], np.uint64(0))
+    inside, at = at < stops[:, None], np.minimum(at, len(tokens) - 1)
+    held = np.where(inside & (known[at] > 0), tokens[at], np.uint64(0))
     held.sort(axis=1)
     return starts[(held[:, 1:] != held[:, :-1]).sum(axis=1) + (held[:, 0] != 0) >= least]
 
@@ -127,27 +128,28 @@ class Index:
     def gate(self, ends: np.ndarray, tokens: np.ndarray, mask: np.ndarray, sizes: list[int], starts: dict[int, list[np.ndarray]]) -> None:
         """Add the windows of some documents that hold enough words of each size's items."""
         tokens = tokens[ends[0] : ends[-1]]
-        left = np.repeat(ends[1:] - ends[0], np.diff(ends)) - np.arange(len(tokens))
+        last = np.repeat(ends[1:] - ends[0], np.diff(ends))
         sums = np.zeros(len(mask) + 1, np.int32)
         for bit, size in enumerate(sizes):
-            if len(tokens) < size:
+            if len(tokens) < size - int(EDITS * size):
                 continue
             known = ((mask >> bit) & 1).astype(np.int8)
             np.cumsum(known, out=sums[1:])
-            some = np.flatnonzero(sums[size:] - sums[:-size] >= size - int(EDITS * size))
-            some = some[left[some] >= size]
+            stop = np.minimum(np.arange(len(tokens)) + size, last)
+            some = np.flatnonzero(sums[stop] - sums[:-1] >= size - int(EDITS * size))
             least = min(len(np.unique(self.items[k])) for k in self.sizes[size]) - int(EDITS * size)
             for k in range(0, len(some), 20_000):
-                kept = varied(tokens, known, some[k : k + 20_000], size, least)
+                kept = varied(tokens, known, some[k : k + 20_000], stop[some[k : k + 20_000]], size, least)
                 if len(kept):
                     starts[size].append(kept + ends[0])
 
     def windows(self, found: words.Words, tokens: np.ndarray, size: int, starts: np.ndarray, out: list) -> None:
         """Add the occurrences of the items of one size at the windows given."""
         docs = np.searchsorted(found.starts, starts, side="right") - 1
+        lengths = np.minimum(size, found.starts[docs + 1] - starts)
         met: dict[tuple[int, int], list[int]] = defaultdict(list)
         for at in range(0, len(starts), 10_000):
-            for walk, names in enumerate(embed(tokens, starts[at : at + 10_000], size, self.places[size])):
+            for walk, names in enumerate(embed(tokens, starts[at : at + 10_000], lengths[at : at + 10_000], self.places[size])):
                 held = self.held[size, walk]
                 for k in np.flatnonzero(np.isin(names, np.fromiter(held, np.uint64, len(held)))):
                     for item in held[int(names[k])]:
@@ -166,7 +168,7 @@ class Index:
             else:
                 runs.append([p])
         for run in runs:
-            exact = next((p for p in run if p >= done and (tokens[p : p + size] == own).all()), None)
+            exact = next((p for p in run if p >= done and p + size <= last and (tokens[p : p + size] == own).all()), None)
             if exact is not None:
                 out.append((item, int(exact - first), int(exact - first) + size, 0))
                 done = exact + size
@@ -197,7 +199,7 @@ def index(items: list[tuple[int, str]]) -> Index:
         random = np.random.default_rng([SEED, size])
         made.places[size] = np.array([np.sort(random.choice(2 * size, min(PICKS, 2 * size), replace=False)) for _ in range(WALKS)])
         flat, starts = np.concatenate([made.items[k] for k in members]), np.arange(len(members)) * size
-        for walk, names in enumerate(embed(flat, starts, size, made.places[size])):
+        for walk, names in enumerate(embed(flat, starts, np.full(len(starts), size), made.places[size])):
             held: dict[int, list[int]] = defaultdict(list)
             for k, name in zip(members, names.tolist(), strict=True):
                 held[name].append(k)

@@ -80,3 +80,30 @@ def test_clean_and_blocks(spark, monkeypatch):
     several = decontamination.leaks(docs, items, out="found").orderBy("doc_id").collect()
     assert [sorted(r["found"]) for r in one] == [sorted(r["found"]) for r in several]
     assert decontamination.leaks(docs, items.where("false")).count() == 20 and decontamination.clean(docs.where("false"), items).count() == 0
+
+
+def cut(own, n, r):
+    """The words with n of them deleted or changed, one at least deleted."""
+    own = list(own)
+    own.pop(r.randrange(len(own)))
+    for _ in range(n - 1):
+        at = r.randrange(len(own))
+        if r.random() < 0.5:
+            own.pop(at)
+        else:
+            own[at] = r.choice(VOCABULARY)
+    return own
+
+
+def test_shortened_items_alone_and_at_a_texts_end():
+    r = random.Random(8)
+    items = [[r.choice(VOCABULARY) for _ in range(r.randrange(15, 40))] for _ in range(80)]
+    index = decontamination.index([(k, " ".join(w)) for k, w in enumerate(items)])
+    assert index.find(words.normal(words.split(pa.array([" ".join(items[0][:-1])]))))[0] == [(0, 0, len(items[0]) - 1, 1)]
+    for before in (0, 70):
+        texts = [" ".join([r.choice(VOCABULARY) for _ in range(before)] + cut(w, int(0.2 * len(w)), r)) for w in items]
+        found = index.find(words.normal(words.split(pa.array(texts))))
+        assert sum(any(row[0] == k for row in rows) for k, rows in enumerate(found)) >= 0.95 * len(items)
+        for text, rows in zip(texts, found, strict=True):
+            for k, a, b, distance in rows:
+                assert distance == brute(items[k], text.split()[a:b]) <= int(0.2 * len(items[k]))
