@@ -6,7 +6,11 @@ words, and in shorter ones at its end that lack no more words than may be edited
 depend on the word under it; it maps a small edit distance to a small Hamming
 distance. ``WALKS`` walks are drawn; in each, ``PICKS`` random places of the
 embedding name a bucket, and a window that shares a bucket with an item of its
-size is a candidate. Candidates are verified: the item's edit distance to a
+size is a candidate. The Hamming distance grows faster than the edits, so items of more than
+``SECTION`` words are embedded in sections of at most so many: of edits within
+the limit for the whole, one section at least has no more than within its own
+limit, so recall doesn't fall with an item's size. Sections are looked for where
+windows of the item's size pass. Candidates are verified: the item's edit distance to a
 stretch of text there, in words, must be at most ``EDITS`` of its
 length.
 
@@ -38,6 +42,8 @@ from framewell.llm import words
 
 #: Allowed edits as a share of an item's words. With 24 walks of 3 picks a window whose embedding differs in 0.3 of its places is missed with a probability of 0.00005.
 EDITS, WALKS, PICKS, SEED = 0.2, 24, 3, 7
+#: Words of an item that are embedded together at most.
+SECTION = 20
 #: Bytes of item text that are broadcast together.
 BLOCK = 16_000_000
 FOUND = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("distance", T.IntegerType())])
@@ -57,6 +63,12 @@ def embed(tokens: np.ndarray, starts: np.ndarray, held: np.ndarray, places: np.n
     return names
 
 
+def sections(size: int) -> list[tuple[int, int]]:
+    """First word and number of words of each section of an item of so many words."""
+    cuts = np.linspace(0, size, -(-size // SECTION) + 1).astype(int).tolist()
+    return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def varied(tokens: np.ndarray, known: np.ndarray, starts: np.ndarray, stops: np.ndarray, size: int, least: int) -> np.ndarray:
     """The windows of ``size`` words, or up to their stop, with at least so many different known words."""
     at = starts[:, None] + np.arange(size)
@@ -93,14 +105,14 @@ def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 @dataclass
 class Index:
-    """Items by their size: ids, words, the words that any of them has, and buckets of each walk."""
+    """Items by their size: ids, words, the words that any of them has, and buckets of each walk in each section."""
 
     ids: list[int]
     items: list[np.ndarray]
     sizes: dict[int, list[int]] = field(default_factory=lambda: defaultdict(list))
     vocabulary: dict[str, int] = field(default_factory=dict)
     places: dict[int, np.ndarray] = field(default_factory=dict)
-    held: dict[tuple[int, int], dict[int, list[int]]] = field(default_factory=dict)
+    held: dict[tuple[int, int, int], dict[int, list[int]]] = field(default_factory=dict)
 
     def find(self, found: words.Words) -> list[list[tuple[int, int, int, int]]]:
         """For each document (item, first word, word after the last, distance), by place."""
@@ -145,41 +157,60 @@ class Index:
 
     def windows(self, found: words.Words, tokens: np.ndarray, size: int, starts: np.ndarray, out: list) -> None:
         """Add the occurrences of the items of one size at the windows given."""
-        docs = np.searchsorted(found.starts, starts, side="right") - 1
-        lengths = np.minimum(size, found.starts[docs + 1] - starts)
         met: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for at in range(0, len(starts), 10_000):
-            for walk, names in enumerate(embed(tokens, starts[at : at + 10_000], lengths[at : at + 10_000], self.places[size])):
-                held = self.held[size, walk]
-                for k in np.flatnonzero(np.isin(names, np.fromiter(held, np.uint64, len(held)))):
-                    for item in held[int(names[k])]:
-                        met[int(docs[at + k]), item].append(int(starts[at + k]))
+        for first, some in sections(size):
+            own = starts if some == size else self.around(found, starts, size, first, some)
+            docs = np.searchsorted(found.starts, own, side="right") - 1
+            lengths = np.minimum(some, found.starts[docs + 1] - own)
+            for at in range(0, len(own), 10_000):
+                for walk, names in enumerate(embed(tokens, own[at : at + 10_000], lengths[at : at + 10_000], self.places[some])):
+                    held = self.held[size, first, walk]
+                    for k in np.flatnonzero(np.isin(names, np.fromiter(held, np.uint64, len(held)))):
+                        for item in held[int(names[k])]:
+                            met[int(docs[at + k]), item].append(int(own[at + k]) - first)
         for (doc, item), places in met.items():
             self.verify(tokens, found.starts[doc], found.starts[doc + 1], item, sorted(set(places)), out[doc])
 
+    def around(self, found: words.Words, starts: np.ndarray, size: int, first: int, some: int) -> np.ndarray:
+        """Where a section may start, in texts whose windows of the item's size do at ``starts``."""
+        most, docs = int(EDITS * size), np.searchsorted(found.starts, starts, side="right") - 1
+        low = np.maximum(starts + first - most, found.starts[docs])
+        high = np.minimum(starts + first + most, found.starts[docs + 1] - max(1, some - int(EDITS * some)))
+        marks = np.zeros(int(found.starts[-1]) + 2, np.int32)
+        np.add.at(marks, low[high >= low], 1)
+        np.add.at(marks, high[high >= low] + 1, -1)
+        return np.flatnonzero(np.cumsum(marks))
+
     def verify(self, tokens: np.ndarray, first: int, last: int, item: int, places: list[int], out: list) -> None:
-        """Append the item's occurrences at the candidate places, which do not overlap; the nearest place of a run of places first."""
+        """Append the item's occurrences at the candidate places, which do not overlap; in each run of places the exact or else the nearest first, then those before and after it."""
         own = self.items[item]
-        most, size, done = int(EDITS * len(own)), len(own), -1
+        most, size, done = int(EDITS * len(own)), len(own), first
         runs: list[list[int]] = []
         for p in places:
-            if runs and p - runs[-1][-1] <= max(1, most):
+            if runs and p - runs[-1][-1] <= max(1, most) and p - runs[-1][0] <= size // 2:
                 runs[-1].append(p)
             else:
                 runs.append([p])
-        for run in runs:
-            exact = next((p for p in run if p >= done and p + size <= last and (tokens[p : p + size] == own).all()), None)
-            if exact is not None:
-                out.append((item, int(exact - first), int(exact - first) + size, 0))
-                done = exact + size
-                continue
-            low, high = max(first, run[0] - most, done), min(last, run[-1] + size + most)
-            if high <= low:
-                continue
-            if distance(own, tokens[low:high]) <= most:
-                edits, a, b = nearest(own, tokens[low:high])
-                out.append((item, int(low + a - first), int(low + b - first), edits))
-                done = low + b
+        for run, later in zip(runs, [*(r[0] for r in runs[1:]), last + size], strict=True):
+            parts = [(max(first, run[0] - most, done), min(last, run[-1] + size + most))]
+            while parts:
+                low, high = parts.pop()
+                if high - low < max(1, size - most):
+                    continue
+                exact = next((p for p in run if low <= p <= high - size and (tokens[p : p + size] == own).all()), None)
+                if exact is not None:
+                    a, b, edits = exact, exact + size, 0
+                elif distance(own, tokens[low:high]) <= most:
+                    edits, a, b = nearest(own, tokens[low:high])
+                    a, b = low + a, low + b
+                else:
+                    continue
+                if a > run[-1] + most and a >= later - most:  # the next run's
+                    parts.append((low, a))
+                    continue
+                out.append((item, int(a - first), int(b - first), edits))
+                done = max(done, b)
+                parts += [(low, a), (b, high)]
 
 
 def index(items: list[tuple[int, str]]) -> Index:
@@ -196,14 +227,17 @@ def index(items: list[tuple[int, str]]) -> Index:
         for i in set(found.ids[found.starts[k] : found.starts[k + 1]].tolist()):
             made.vocabulary[found.distinct[i]] = made.vocabulary.get(found.distinct[i], 0) | bits[len(item)]
     for size, members in made.sizes.items():
-        random = np.random.default_rng([SEED, size])
-        made.places[size] = np.array([np.sort(random.choice(2 * size, min(PICKS, 2 * size), replace=False)) for _ in range(WALKS)])
-        flat, starts = np.concatenate([made.items[k] for k in members]), np.arange(len(members)) * size
-        for walk, names in enumerate(embed(flat, starts, np.full(len(starts), size), made.places[size])):
-            held: dict[int, list[int]] = defaultdict(list)
-            for k, name in zip(members, names.tolist(), strict=True):
-                held[name].append(k)
-            made.held[size, walk] = dict(held)
+        flat = np.concatenate([made.items[k] for k in members])
+        for first, some in sections(size):
+            if some not in made.places:
+                random, reach = np.random.default_rng([SEED, some]), some + (some + 1) // 2  # where few walks are over: the places after hold nothing that tells items apart
+                made.places[some] = np.array([np.sort(random.choice(reach, min(PICKS, reach), replace=False)) for _ in range(WALKS)])
+            starts = np.arange(len(members)) * size + first
+            for walk, names in enumerate(embed(flat, starts, np.full(len(starts), some), made.places[some])):
+                held: dict[int, list[int]] = defaultdict(list)
+                for k, name in zip(members, names.tolist(), strict=True):
+                    held[name].append(k)
+                made.held[size, first, walk] = dict(held)
     return made
 
 

@@ -107,3 +107,32 @@ def test_shortened_items_alone_and_at_a_texts_end():
         for text, rows in zip(texts, found, strict=True):
             for k, a, b, distance in rows:
                 assert distance == brute(items[k], text.split()[a:b]) <= int(0.2 * len(items[k]))
+
+
+def test_recall_does_not_fall_with_an_items_length():
+    r = random.Random(9)
+    for size, n in ((40, 60), (160, 20), (320, 15)):
+        items = [[r.choice(VOCABULARY) for _ in range(size)] for _ in range(n)]
+        index = decontamination.index([(k, " ".join(w)) for k, w in enumerate(items)])
+        texts = []
+        for k, w in enumerate(items):
+            own = cut(w, int(0.2 * size), r) if k % 2 else list(w)
+            if k % 2 == 0:
+                for at in r.sample(range(size), int(0.2 * size)):
+                    own[at] = f"x{at}"
+            texts.append(around(" ".join(own)))
+        found = index.find(words.normal(words.split(pa.array(texts))))
+        assert sum(any(row[0] == k for row in rows) for k, rows in enumerate(found)) >= 0.95 * n
+        for text, rows in zip(texts, found, strict=True):
+            for k, a, b, distance in rows:
+                assert distance == brute(items[k], text.split()[a:b]) <= int(0.2 * size)
+
+
+def test_occurrences_that_follow_each_other_are_found_each():
+    r = random.Random(10)
+    item = [r.choice(VOCABULARY) for _ in range(45)]
+    index = decontamination.index([(0, " ".join(item))])
+    near = [*item[:5], "xx", *item[6:]]
+    for parts in ([item, item, item], [near, item, near], [near] * 6):
+        rows = index.find(words.normal(words.split(pa.array([" ".join(w for p in parts for w in p)]))))[0]
+        assert [(row[1], row[2]) for row in rows] == [(45 * k, 45 * k + 45) for k in range(len(parts))]
