@@ -60,7 +60,8 @@ def shingles(found: words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     heads = left >= whole
     h = np.zeros(size, np.uint64)
     for k in range(SHINGLE):
-        h[: size - k] += np.where(left[: size - k] > k, own[k:] * np.uint64(2 * k + 1), np.uint64(0))
+        to = max(size - k, 0)
+        h[:to] += np.where(left[:to] > k, own[k:] * np.uint64(2 * k + 1), np.uint64(0))
         h = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
     h = words.mix(h)[heads]
     key = (docs[heads].astype(np.uint64) << np.uint64(KEEP)) | (h >> np.uint64(64 - KEEP))

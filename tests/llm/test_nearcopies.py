@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from framewell.llm import nearcopies, words
 
@@ -81,3 +82,17 @@ def test_dedup_keeps_one_of_each_class_and_all_without_words(spark):
     wordless = [i for i, t in docs if not bag(t)]
     assert sorted(kept) == sorted({c for _, i, c in rows if i not in wordless} | set(wordless))
     assert nearcopies.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_slices_of_a_few_words_in_all():
+    for text, n in (("", 0), ("one", 1), ("one two", 1), ("one two three", 1), ("one two three four", 1), ("one two three four five", 1), ("one two three four five six", 2)):
+        alone = nearcopies.shingles(words.normal(words.split(pa.array([text]))))
+        among = nearcopies.shingles(words.normal(words.split(pa.array([text, "and many other words that follow in the slice"]))))
+        own = among[0] == 0
+        assert len(alone[1]) == n and alone[1].tolist() == among[1][own].tolist() and alone[2].tolist() == among[2][own].tolist()
+
+
+def test_a_table_of_one_short_text(spark):
+    for text in ("two words", "now three words"):
+        rows = nearcopies.classes(spark.createDataFrame([(7, text)], "doc_id long, text string")).collect()
+        assert [(r["doc_id"], r["class_id"]) for r in rows] == [(7, 7)]
