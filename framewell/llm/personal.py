@@ -36,8 +36,8 @@ from framewell.llm import words
 KINDS = ("email", "ip", "card", "phone")
 #: Documents whose rule spans the tagger learns from, at most about.
 MOST = 4_000
-#: Characters in a window, how many of them its neighbour has too, hidden units a direction, epochs.
-WINDOW, SHARED, HIDDEN, EPOCHS, SEED = 96, 40, 24, 6, 3
+#: Characters in a window, how many of them its neighbour has too (two more than the longest span that is sought), hidden units a direction, epochs.
+WINDOW, SHARED, HIDDEN, EPOCHS, SEED = 96, 66, 24, 6, 3
 #: Least confidence of an added span.
 SURE = 0.5
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -48,7 +48,7 @@ HOST = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]+|(?<=[A-Za-z0-9])[ \[(]+at[ \])]+(?=[A-Za-z0-9])", re.ASCII)
+TRIGGER = re.compile(r"[0-9@]+|(?<=[A-Za-z0-9])[ \[(]+[aA][tT][ \])]+(?=[A-Za-z0-9])", re.ASCII)
 
 
 def luhn(digits: str) -> bool:
@@ -234,10 +234,10 @@ class Tagger:
 
 
 def windows(text: str) -> list[int]:
-    """Starts of the windows that cover every trigger with room around it."""
+    """Starts of the windows of which one holds, within its edges, any span of SHARED - 2 characters at most with a trigger in it."""
     step, starts = WINDOW - SHARED, set()
     for m in TRIGGER.finditer(text):
-        for k in range(max(0, (m.start() - SHARED) // step), (min(len(text), m.end() + SHARED // 2)) // step + 1):
+        for k in range(max(0, (m.start() - WINDOW) // step), m.end() // step + 1):
             starts.add(k * step)
     return sorted(s for s in starts if s < len(text))
 
@@ -298,7 +298,7 @@ def plausible(text: str, kind: str) -> bool:
     """Whether an added span can be what it is tagged as."""
     own = digits(text)
     if kind == "email":
-        return bool(re.search(r"[A-Za-z0-9]\s*[\[(]?\s*(@|at)\s*[\])]?\s*[A-Za-z0-9]", text)) and bool(re.search(r"\.|dot", text))
+        return bool(re.search(r"[A-Za-z0-9]\s*[\[(]?\s*(@|at)\s*[\])]?\s*[A-Za-z0-9]", text, re.IGNORECASE)) and bool(re.search(r"\.|dot", text, re.IGNORECASE))
     if kind == "ip":
         parts = [p for p in re.split(r"[^0-9]+", text) if p]
         return len(parts) == 4 and all(int(p) <= 255 for p in parts)

@@ -94,3 +94,18 @@ def test_query(spark, tmp_path):
         joined = [f"{k}:{s}:{e}" for s, e, k in base]
         assert r["base_sha256"] == hashlib.sha256(",".join(joined).encode()).hexdigest()
         assert [r[f"n_{k}"] for k in PLAIN] == [sum(x[2] == k for x in base) for k in PLAIN] and set(joined) <= set(filter(None, r["spans"].split(",")))
+
+
+def test_upper_case_forms_are_looked_at():
+    text = "name AT host DOT com"
+    assert personal.windows(text) == [0] and personal.plausible(text, "email") and personal.plausible("name At host Dot com", "email")
+
+
+def test_a_window_holds_every_span_at_every_place():
+    span = "some_one.with.long.name at a-rather-long-host dot example dot"
+    assert 60 <= len(span) <= personal.SHARED - 2
+    for own in (span, span[:46], f"({span[:40]}) 1", f"1 {span[:40]}"):
+        for before in range(200):
+            text = "x" * before + " " + own + " " + "y" * 150
+            start, end = before + 1, before + 1 + len(own)
+            assert any((s < start or s == 0) and end < s + personal.WINDOW for s in personal.windows(text)), (own, before)
