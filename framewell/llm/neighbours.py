@@ -1,6 +1,9 @@
 """Approximate nearest neighbours by cosine: NN-descent builds a graph, greedy search walks it.
 
-Vectors are numbered, normalised and rounded to bytes with a scale each. The
+Equal vectors, and those that are a power of two times another, whose cosines
+are the same to the last bit, are one node with many members, so no copies crowd
+out other neighbours. Nodes are numbered in the order of their least vec_id,
+which settles every tie; their directions are rounded to bytes with a scale each. The
 graph begins with random neighbours. Each round joins it with itself: at every
 node, its neighbours (and what it is a neighbour of) meet, and pairs of them
 not compared before that are nearer than the farthest neighbour either has are
@@ -9,8 +12,9 @@ proposed; each node keeps its ``DEGREE`` nearest. Few changes end it.
 A search holds for each query a beam of its ``BEAM`` nearest nodes so far,
 beginning with its own neighbours. Each hop looks at the neighbours of all
 nodes of the beam that were not looked at before, in either direction of the graph, and
-ends where there are none. The best of the beam are measured again on the
-original vectors in double precision.
+ends where there are none. The best of the beam and the query's own node are measured again
+in double precision, and the nearest ones' least members are the answer, which all
+queries of a node share but for themselves.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite numbers
 take no part, as those with another dimension than most; of rows that repeat a
@@ -46,42 +50,53 @@ def usable(vector: Column) -> Column:
 
 @dataclass
 class Index:
-    """Numbered vectors (node, vec_id, vector, scale, code), the graph (u, v, sim), and their count."""
+    """Nodes (node, vector, scale, code), their members (node, vec_id), the graph (u, v, sim), and the number of nodes."""
 
     nodes: DataFrame
+    members: DataFrame
     graph: DataFrame
     count: int
 
 
-def numbered(table: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, int]:
-    """(node, vec_id, vector) of the vectors that take part, numbered from 0."""
+def canonical(vector: Column) -> Column:
+    """A vector over the power of two that is not above its largest component; exact, and the same for all that differ by a power of two."""
+    top = F.array_max(F.transform(vector, F.abs))
+    scale = F.pow(F.lit(2.0), F.floor(F.log2(top)))
+    return F.transform(vector, lambda x: x / scale + F.lit(0.0))
+
+
+def numbered(table: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, DataFrame, int]:
+    """(node, vector) of the distinct vectors that take part, numbered from 0 by their least vec_id, their members (node, vec_id), and their number."""
     own = table.select(F.col(vec_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
-    own = own.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    held = cut_lineage(own.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    own = own.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("vector", canonical(F.col("vector")))
+    held = cut_lineage(own.withColumn("name", F.struct(F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(5), "vector").alias("b"))))
     sizes = held.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
-    if not sizes:
-        return held.select(F.lit(0).cast("long").alias("node"), "vec_id", "vector"), 0
-    if sizes[0]["n"] < held.count():
-        held = cut_lineage(held.where(F.size("vector") == sizes[0]["size"]).select("vec_id", "vector").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
-    parts = {r["part"]: (r["first"], r["n"]) for r in held.groupBy("part").agg(F.min("at").alias("first"), F.count("*").alias("n")).collect()}
+    if sizes:
+        held = held.where(F.size("vector") == sizes[0]["size"])
+    # the name is a 128-bit hash; of equal names the vector is the same
+    ordered = held.groupBy("name").agg(F.min("vec_id").alias("least"), F.any_value("vector").alias("vector")).orderBy("least")
+    placed = cut_lineage(ordered.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    parts = {r["part"]: (r["first"], r["n"]) for r in placed.groupBy("part").agg(F.min("at").alias("first"), F.count("*").alias("n")).collect()}
     base, total = {}, 0
     for part, (first, n) in sorted(parts.items()):
         base[part] = total - first
         total += n
-    shift = F.element_at(F.create_map(*[F.lit(x) for kv in base.items() for x in kv]), F.col("part"))
-    return held.select((F.col("at") + shift).cast("long").alias("node"), "vec_id", "vector"), total
+    shift = F.element_at(F.create_map(*[F.lit(x) for kv in base.items() for x in kv]), F.col("part")) if base else F.lit(0)
+    nodes = placed.select((F.col("at") + shift).cast("long").alias("node"), "name", "vector")
+    members = held.select("vec_id", "name").join(nodes.select("node", "name"), "name").select("node", "vec_id")
+    return nodes.drop("name"), members, total
 
 
 def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add bytes and scale of each vector's direction."""
     for batch in batches:
         if batch.num_rows:
-            x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             scale = np.abs(x).max(axis=1) / 127
             codes = np.rint(x / scale[:, None]).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scale.astype(np.float32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["node", "vec_id", "vector", "scale", "code"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scale.astype(np.float32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["node", "vector", "scale", "code"])
 
 
 def _codes(column: pa.Array, scale: pa.Array) -> np.ndarray:
@@ -121,29 +136,30 @@ def _nearest(edges: DataFrame, by: str, keep: int) -> DataFrame:
 
 def build(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> Index:
     """Number the vectors and build their graph."""
-    plain, n = numbered(table, vec_id, vector)
-    nodes = cut_lineage(plain.mapInArrow(_code, "node long, vec_id long, vector array<double>, scale float, code binary")) if n else plain.withColumn("scale", F.lit(0.0)).withColumn("code", F.lit(b""))
+    plain, members, n = numbered(table, vec_id, vector)
+    members = cut_lineage(members)
+    nodes = cut_lineage(plain.mapInArrow(_code, "node long, vector array<double>, scale float, code binary")) if n else plain.withColumn("scale", F.lit(0.0)).withColumn("code", F.lit(b""))
     degree = min(DEGREE, max(n - 1, 0))
     random = np.random.default_rng(SEED)
     steps = sorted({int(x) for x in (random.choice(n - 1, degree, replace=False) + 1 if n - 1 < 1_000_000 else random.integers(1, n, degree))}) if degree else []
     graph = nodes.select(F.col("node").alias("u"), F.explode(F.array(*[F.lit(s).cast("long") for s in steps]) if steps else F.array().cast("array<long>")).alias("step"))
     graph = cut_lineage(graph.select("u", F.pmod(F.col("u") + F.col("step"), F.lit(max(n, 1))).alias("v"), F.lit(-2.0).cast("float").alias("sim"), F.lit(True).alias("new")))
     if n <= DEGREE + 1:
-        return Index(nodes, graph.select("u", "v", "sim"), n)
+        return Index(nodes, members, graph.select("u", "v", "sim"), n)
     for _ in range(ROUNDS):
         far = graph.groupBy("u").agg(F.min("sim").alias("far"), F.count("*").alias("held"))
         known = nodes.select("node", "scale", "code").join(far, F.col("node") == F.col("u"), "left").select(F.col("node").alias("m"), F.when(F.col("held") >= DEGREE, F.col("far")).otherwise(F.lit(-3.0)).cast("float").alias("far"), "scale", "code")
         shuffled = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("u", "v")))
         back = graph.withColumn("_place", shuffled).where(F.col("_place") <= REVERSE)
-        members = graph.select(F.col("u").alias("at"), F.col("v").alias("m"), "new").unionByName(back.select(F.col("v").alias("at"), F.col("u").alias("m"), "new"))
-        met = members.join(known, "m").groupBy("at").agg(F.collect_list(F.struct("m", "new", "far", "scale", "code")).alias("members"))
+        around = graph.select(F.col("u").alias("at"), F.col("v").alias("m"), "new").unionByName(back.select(F.col("v").alias("at"), F.col("u").alias("m"), "new"))
+        met = around.join(known, "m").groupBy("at").agg(F.collect_list(F.struct("m", "new", "far", "scale", "code")).alias("members"))
         found = met.select("members").mapInArrow(_meet, "u long, v long, sim float")
         merged = graph.where("sim > -2").withColumn("new", F.lit(False)).unionByName(found.withColumn("new", F.lit(True))).groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
         graph = cut_lineage(_nearest(merged, "u", DEGREE))
         state = graph.agg(F.avg(F.col("new").cast("double"))).first()[0]
         if state < CHANGED:
             break
-    return Index(nodes, graph.select("u", "v", "sim"), n)
+    return Index(nodes, members, graph.select("u", "v", "sim"), n)
 
 
 def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,28 +180,35 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other vectors found for each vector whose vec_id ``queries`` lists."""
-    asked = cut_lineage(queries.select("vec_id").distinct().join(index.nodes, "vec_id").select(F.col("node").alias("query"), F.col("scale").alias("q_scale"), F.col("code").alias("q_code")))
+    ids = cut_lineage(queries.select("vec_id").distinct().join(index.members, "vec_id").select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")))
+    asked = cut_lineage(ids.select("query").distinct().join(index.nodes, F.col("query") == F.col("node")).select("query", F.col("scale").alias("q_scale"), F.col("code").alias("q_code"), F.col("vector").alias("asked")))
     graph = index.graph
     both = graph.select("u", "v").unionByName(_nearest(graph, "v", 2 * REVERSE).select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     coded = index.nodes.select(F.col("node").alias("v"), "scale", "code")
     around = cut_lineage(both.join(coded, "v").groupBy("u").agg(F.collect_list(F.struct("v", "scale", "code")).alias("near")))
     beam = cut_lineage(asked.select("query", F.col("query").alias("node"), F.lit(9.0).cast("float").alias("sim"), F.lit(False).alias("seen")))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "node"))
     while not beam.where("not seen").isEmpty():
         full = beam.where("sim < 9").groupBy("query").agg(F.min("sim").alias("low"), F.count("*").alias("held"))
-        front = beam.where("not seen").join(asked, "query").join(full, "query", "left")
+        front = beam.where("not seen").join(asked.drop("asked"), "query").join(full, "query", "left")
         least = F.when(F.coalesce("held", F.lit(0)) >= BEAM, F.col("low")).otherwise(F.lit(-9.0)).cast("float")
         looked = front.join(around, F.col("node") == F.col("u")).select("query", F.col("query").alias("own"), least.alias("least"), "q_scale", "q_code", "near")
         found = looked.mapInArrow(_look, "query long, node long, sim float")
         held = beam.withColumn("seen", F.lit(True)).unionByName(found.withColumn("seen", F.lit(False)))
         held = held.groupBy("query", "node").agg(F.max("sim").alias("sim"), F.max("seen").alias("seen")).where("sim < 9")
-        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "node"))
         beam = cut_lineage(held.withColumn("_place", place).where(F.col("_place") <= BEAM).drop("_place"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "node"))
-    best = beam.withColumn("_place", place).where(F.col("_place") <= EXACT + k).select("query", "node")
-    exact = best.join(index.nodes.select("node", "vec_id", "vector"), "node").join(index.nodes.select(F.col("node").alias("query"), F.col("vec_id").alias("query_id"), F.col("vector").alias("asked")), "query")
-    measured = exact.select("query_id", "vec_id", cosine(F.col("asked"), F.col("vector")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return measured.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = beam.withColumn("_place", place).where(F.col("_place") <= EXACT + k).select("query", "node").unionByName(asked.select("query", F.col("query").alias("node")))
+    measured = best.join(index.nodes.select("node", "vector"), "node").join(asked.select("query", "asked"), "query").select("query", "node", cosine(F.col("asked"), F.col("vector")).alias("score"))
+    # one answer more than asked for, as a query may be among its own node's members
+    nearer = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))
+    near = cut_lineage(measured.withColumn("_place", nearer).where(F.col("_place") <= k + 1).drop("_place"))
+    least = F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))
+    members = index.members.join(near.select("node").distinct(), "node").withColumn("_place", least).where(F.col("_place") <= k + 1).drop("_place")
+    first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    answers = near.join(members, "node").select("query", "vec_id", "score").withColumn("_place", first).where(F.col("_place") <= k + 1)
+    listed = answers.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("_place", "vec_id", "score"))).alias("answers"))
+    own = ids.join(listed, "query").select("query_id", F.slice(F.filter("answers", lambda a: a["vec_id"] != F.col("query_id")), 1, k).alias("answers"))
+    return own.select("query_id", F.posexplode("answers").alias("rank", "a")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("a.vec_id").alias("vec_id"), F.col("a.score").alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:

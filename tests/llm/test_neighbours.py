@@ -39,8 +39,41 @@ def test_cases(spark, tmp_path):
     assert run(spark, tmp_path, [(0, one, 1)]) == {} and run(spark, tmp_path, []) == {}
 
 
+def test_ties_in_large_groups_go_to_the_least_ids(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(5)
+    one = r.normal(size=8).astype(np.float32)
+    x = r.normal(size=(1500, 8)).astype(np.float32)
+    x[::2][:600] = one * np.where(np.arange(600) % 3 == 0, 2, 1)[:, None]
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
+    r.shuffle(rows)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(8).write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")
+    found: dict[int, list] = {}
+    for row in sorted(queries.op8_ann(spark, str(tmp_path)).collect(), key=lambda row: (row["query_id"], row["rank"])):
+        found.setdefault(row["query_id"], []).append(row["vec_id"])
+    assert all(found[q] == [i for i in range(0, 14, 2) if i != q][:5] for q in range(0, 1200, 100))
+    true = brute(np.arange(1500), x.astype(float), range(0, 1500, 50))
+    assert np.mean([len(set(found[q]) & {i for i, _ in true[q]}) / 5 for q in true if q >= 1200 or q % 2]) > 0.95
+
+
+def test_recall_on_many_vectors(spark):
+    n = 20_000
+    x = np.random.default_rng(0).normal(size=(n, 32)).astype(np.float32)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    found: dict[int, set] = {}
+    for r in neighbours.search(neighbours.build(table), table.where("vec_id % 200 = 0"), 5).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    true = brute(np.arange(n), x.astype(float), range(0, n, 200))
+    assert np.mean([len(found[q] & {i for i, _ in true[q]}) / 5 for q in true]) >= 0.9
+
+
+def test_columns_with_clashing_names(spark):
+    table = spark.createDataFrame([(k, [float(k), 1.0], k, k, k) for k in range(30)], "vec_id long, embedding array<double>, node long, scale long, code long")
+    rows = neighbours.search(neighbours.build(table), table.where("vec_id = 0"), 2).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(rows)] == [(0, 1, 1), (0, 2, 2)]
+
+
 def test_index_on_its_own(spark):
     x = np.random.default_rng(3).normal(size=(60, 8))
-    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate([*x, x[7] * 4])], "vec_id long, embedding array<double>")
     index = neighbours.build(table)
-    assert index.count == 60 and index.graph.groupBy("u").count().count() == 60 and index.graph.where("u = v").count() == 0
+    assert index.count == 60 and index.members.count() == 61 and index.graph.groupBy("u").count().count() == 60 and index.graph.where("u = v").count() == 0
