@@ -137,4 +137,4 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
 def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     """Pseudo-log-likelihood of every text."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return lmscore.score(docs, lmscore.fit(docs), keep_text=False)
+    return lmscore.fit_score(docs, keep_text=False)

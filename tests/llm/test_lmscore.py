@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from framewell.llm import lmscore, words
 
@@ -19,62 +20,135 @@ def corpus(n=400, seed=1):
     return out
 
 
+def table(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def small(n=300, seed=0):
+    """A vocabulary of n known words and the shared leaves, and a network with weights."""
+    r = np.random.default_rng(seed)
+    known = np.sort(r.integers(0, 2**63, n).astype(np.uint64))
+    counts = np.concatenate([r.integers(1, 1000, n), r.integers(0, 3, 1 << lmscore.BITS)]).astype(float)
+    vocabulary = lmscore.Vocabulary.of(counts, known)
+    network = lmscore.Network.new(vocabulary)
+    network.out += r.normal(0, 0.3, network.out.shape).astype(np.float32)
+    network.top += r.normal(0, 0.3, network.top.shape).astype(np.float32)
+    return counts, vocabulary, network
+
+
+def brute(network, vocabulary, context, leaf):
+    """The logarithm of a leaf's probability, one decision after the other."""
+    h = np.tanh(sum(network.embed[c + k * (lmscore.INPUTS + 1)].astype(float) for k, c in enumerate(context)))
+    h[-1] = 1
+    x = network.top @ h
+    total = x[vocabulary.tree.classes[leaf]] - np.log(np.exp(x).sum())
+    for k in range(vocabulary.tree.starts[leaf], vocabulary.tree.starts[leaf + 1]):
+        total -= np.log1p(np.exp(-vocabulary.tree.turns[k] * (network.out[vocabulary.tree.nodes[k]] @ h)))
+    return total
+
+
 def test_learns_order_and_prefers_it(spark):
-    docs = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
-    model = lmscore.fit(docs)
+    model = lmscore.fit(table(spark, corpus()))
     good, bad = corpus(20, 9), [" ".join(random.Random(k).choice("abcd") for _ in range(60)) for k in range(20)]
-    (a, n), (b, _) = model.score(pa.array(good)), model.score(pa.array(bad))
-    assert (n == 60).all() and a.min() / 60 > b.max() / 60 and a.mean() / 60 > np.log(0.25) + 0.3
-
-
-def test_probabilities_are_normalised_and_summed():
-    counts = np.zeros(1 << lmscore.BITS)
-    counts[:5000] = np.arange(5000)[::-1]
-    vocabulary = lmscore.Vocabulary.of(counts)
-    network = lmscore.Network.new(vocabulary, counts)
-    network.out[:] = np.random.default_rng(0).normal(size=network.out.shape)
-    context = np.random.default_rng(1).integers(0, lmscore.INPUTS + 1, (10, len(lmscore.PLACES)))
-    assert np.allclose(np.exp(network.log_probabilities(context)).sum(axis=1), 1, atol=1e-5)
-    assert np.allclose(np.bincount(vocabulary.classes, weights=np.exp(vocabulary.share)), 1)
-    model = lmscore.Model(vocabulary, network)
-    text = "one two three four five six"
-    found = words.normal(words.split(pa.array([text])))
-    own = lmscore.buckets(found)
-    rows = lmscore.contexts(vocabulary.inputs[own], found.starts, np.arange(6))
-    brute = sum(network.log_probabilities(rows[k : k + 1])[0, vocabulary.classes[own[k]]] + vocabulary.share[own[k]] for k in range(6))
-    assert abs(model.score(pa.array([text]))[0][0] - brute) < 1e-3
+    got = {r["doc_id"]: r["mean_log_likelihood"] for r in lmscore.score(table(spark, good + bad), model).collect()}
+    a, b = (np.array([got[k] for k in x]) for x in (range(20), range(20, 40)))
+    assert a.min() > b.max() and a.mean() > np.log(0.25) + 0.3
+
+
+def test_probabilities_are_normalised_and_start_as_shares():
+    counts, vocabulary, network = small()
+    r = np.random.default_rng(1)
+    every = np.arange(len(counts))
+    for context in r.integers(0, lmscore.INPUTS + 1, (3, 4)):
+        p = network.log_probabilities(np.tile(context, (len(every), 1)), every, vocabulary.tree)
+        assert abs(np.exp(p).sum() - 1) < 1e-4
+        assert all(abs(p[k] - brute(network, vocabulary, context, k)) < 1e-4 for k in r.integers(0, len(every), 50))
+    plain = lmscore.Network.new(vocabulary).log_probabilities(np.zeros((len(every), 4), int), every, vocabulary.tree)
+    assert np.allclose(np.exp(plain), (counts + 0.5) / (counts + 0.5).sum(), rtol=1e-3)
+
+
+def test_gradient_equals_differences():
+    counts, vocabulary, network = small()
+    r = np.random.default_rng(2)
+    leaf, context = r.integers(0, len(counts), 40), r.integers(0, 8, (40, 4))
+
+    def loss():
+        return -sum(brute(network, vocabulary, c, k) for c, k in zip(context, leaf, strict=True))
+
+    for weights, (used, g, times) in zip((network.embed, network.out, network.top), network.gradient(context, leaf, vocabulary.tree), strict=True):
+        assert len(used) == len(set(used)) == len(times)
+        for k in r.integers(0, len(used), 6):
+            unit = r.integers(0, lmscore.HIDDEN - 1)
+            at, step = (used[k], unit), np.float32(1e-2)
+            before = weights[at]
+            weights[at] = before + step
+            up = loss()
+            weights[at] = before - step
+            down = loss()
+            weights[at] = before
+            assert abs((up - down) / (2 * float(step)) - g[k, unit]) < 2e-2 * max(1, abs(g[k, unit]))
+
+
+def test_contexts_stay_within_documents():
+    got = lmscore.contexts(np.array([5, 6, 7, 8]), np.array([0, 3, 3, 4]))
+    edge = lmscore.INPUTS
+    assert got.tolist() == [[edge, edge, 6, 7], [edge, 5, 7, edge], [5, 6, edge, edge], [edge] * 4]
 
 
 def test_cases(spark):
-    docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "!!", 5), (4, "a b c", 5), (4, "a b c", 5)], "doc_id long, text string, n_words int")
-    model = lmscore.fit(docs)
-    rows = lmscore.score(docs, model).collect()
-    assert [(r["doc_id"], r["n_words"], r["mean_log_likelihood"] is None) for r in sorted(rows, key=lambda r: r["doc_id"])] == [(1, 0, True), (2, 0, True), (3, 0, True), (4, 3, False), (4, 3, False)]
-    assert lmscore.score(docs.where("false"), lmscore.fit(docs.where("false"))).count() == 0
+    schema = "doc_id long, text string, n_words int, row string, at map<string,int>, leaves int"
+    docs = spark.createDataFrame([(1, None, 5, "r", {}, 0), (2, "", 5, None, None, 0), (3, "!!", 5, "r", {"a": 1}, 0), (4, "a b c", 5, "r", {}, 0), (4, "a b c", 5, "r", {}, 0), (None, "zz " * 200_000, 5, "r", {}, 0)], schema)
+    rows = lmscore.fit_score(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["mean_log_likelihood"] is None) for r in rows) == [(0, 200_000, False), (1, 0, True), (2, 0, True), (3, 0, True), (4, 3, False), (4, 3, False)]
+    assert {r["log_likelihood"] for r in rows if r["n_words"] == 0} == {0.0} and len({r["log_likelihood"] for r in rows if r["doc_id"] == 4}) == 1
+    assert set(rows[0].asDict()) == {*docs.columns, "log_likelihood", "mean_log_likelihood"}
+    assert lmscore.fit_score(docs.where("false")).count() == 0
+
+
+def mixed(n=600):
+    r = random.Random(4)
+    return [" ".join(f"{'xy'[k % 2]}{int(r.paretovariate(0.7)) % 4000}" for _ in range(r.randint(5, 120))) for k in range(n)]
 
 
-def test_every_word_is_trained_on_and_counted_by_itself(spark, monkeypatch):
-    monkeypatch.setattr(lmscore, "HEAD", 0, raising=False)
-    texts = [f"w{k}" for k in range(3000) for _ in range(1 + k % 7)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+def test_layout_changes_no_score(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "SHARD", 4000)
+    docs = table(spark, mixed())
+    one, many = ({r["doc_id"]: r["log_likelihood"] for r in lmscore.fit_score(docs.repartition(n, F.rand(n))).collect()} for n in (1, 7))
+    assert max(abs(one[k] - many[k]) / max(1, abs(one[k])) for k in one) < 1e-6
+
+
+def test_context_gains_on_the_words_shares(spark):
+    docs = table(spark, mixed(2000))
+    vocabulary, counts = lmscore.count(docs)
+    encoded = lmscore.encode(docs, vocabulary)
+    model = lmscore.trained(encoded, vocabulary, counts)
+    plain = lmscore.Model(vocabulary, lmscore.Network.new(vocabulary), counts)
+    mean = [lmscore.scored(encoded, m).agg(F.sum("log_likelihood") / F.sum("n_words")).first()[0] for m in (model, plain)]
+    assert mean[0] > mean[1] + 0.3  # nearly the bit that tells x from y words
+    assert model.trained == counts.agg(F.sum("n")).first()[0]
+
+
+def test_every_word_counts_by_itself(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "HEAD", 0)
+    n, own = 8000, lmscore.INPUTS
+    texts = [f"w{k}" for k in range(n) for _ in range(1 + k % 3)]
+    docs = table(spark, texts)
     model = lmscore.fit(docs)
-    assert model.trained == len(texts)
+    assert model.trained == len(texts) and len(model.vocabulary.known) == own
     got = {r["text"]: r["log_likelihood"] for r in lmscore.score(docs, model).collect()}
     by: dict[int, list[int]] = {}
-    for k in range(3000):
-        own, _ = model.vocabulary.rows(words.normal(words.split(pa.array([f"w{k}"]))))
-        by.setdefault(int(model.vocabulary.classes[own[0]]), []).append(k)
-    for members in by.values():
-        a = members[0]
-        for b in members[1:]:
-            assert abs(got[f"w{a}"] - got[f"w{b}"] - np.log((1.5 + a % 7) / (1.5 + b % 7))) < 1e-4
-
-
-def test_a_rare_word_does_not_take_the_count_of_a_frequent_one(spark):
-    frequent = "often"
-    place = int(words.hashes([frequent])[0]) >> (64 - lmscore.BITS)
-    names = [f"r{k}" for k in range(1_000_000)]
-    rare = names[int(np.flatnonzero((words.hashes(names) >> np.uint64(64 - lmscore.BITS)) == place)[0])]
-    docs = spark.createDataFrame([(k, frequent) for k in range(500)] + [(500, rare)], "doc_id long, text string")
-    got = {r["text"]: r["log_likelihood"] for r in lmscore.score(docs, lmscore.fit(docs)).collect()}
-    assert got[frequent] > got[rare] + 1
+    for k in range(n):
+        leaf, _ = model.vocabulary.leaves(words.normal(words.split(pa.array([f"w{k}"]))))
+        by.setdefault(int(leaf[0]), []).append(k)
+    shared = [m for leaf, m in by.items() if leaf >= own and len(m) > 1]
+    assert shared
+    for a, *rest in shared:
+        for b in rest:
+            assert abs(got[f"w{a}"] - got[f"w{b}"] - np.log((1.5 + a % 3) / (1.5 + b % 3))) < 1e-4
+
+
+def test_repeated_documents_score_higher(spark):
+    r = random.Random(3)
+    alone = [" ".join(f"u{r.randrange(10**6)}" for _ in range(30)) for _ in range(300)]
+    got = {x["doc_id"]: x["mean_log_likelihood"] for x in lmscore.fit_score(table(spark, alone + alone[:50])).collect()}
+    assert min(got[k] for k in range(50)) > max(got[k] for k in range(50, 300))
