@@ -44,7 +44,7 @@ from framewell.llm import words
 from framewell.session import cut_lineage
 
 #: Bits of a rarer word's leaf, words on either side, width of the state, whose last unit is always 1, and classes.
-BITS, SIDE, HIDDEN, CLASSES = 12, 2, 16, 64
+BITS, SIDE, HIDDEN, CLASSES = 12, 2, 12, 64
 #: Words that are leaves themselves, at most (but INPUTS at least); leaves are numbered with 16 bits.
 HEAD = (1 << 16) - (1 << BITS)
 #: Inputs that are embedded: the most frequent words have their own, the rest share the last ones.
@@ -156,8 +156,10 @@ def summed(keys: np.ndarray, rows: np.ndarray, times: int = 1) -> tuple[np.ndarr
     order = np.argsort(keys, kind="stable")
     sort = keys[order]
     first = np.flatnonzero(np.concatenate([[True], sort[1:] != sort[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    total = np.add.reduceat(np.take(rows, order // times, axis=0), first, axis=0) if len(keys) else rows
-    return sort[first].astype(np.int64), total, np.diff(np.append(first, len(keys)))
+    if not len(keys):
+        return first, rows, first
+    pairs = np.take(rows, order // times, axis=0).view(np.complex64)  # two numbers are added at once
+    return sort[first].astype(np.int64), np.add.reduceat(pairs, first, axis=0).view(np.float32), np.diff(np.append(first, len(keys)))
 
 
 @dataclass
@@ -192,10 +194,11 @@ class Network:
         return h
 
     def classes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What the probabilities of classes are in proportion to, and its sum."""
-        x = h @ self.top.T
+        """What the probabilities of classes are in proportion to, and its sum; in whole blocks of rows, so that a row's place in them changes no bit."""
+        n = len(h)
+        x = np.concatenate([h, np.zeros((-n % 64, HIDDEN), np.float32)]) @ self.top.T
         np.exp(np.minimum(x, 80, out=x), out=x)
-        return x, x @ np.ones(len(self.top), np.float32)
+        return x[:n], x.sum(axis=1)[:n]
 
     def log_probabilities(self, context: np.ndarray, leaf: np.ndarray, tree: Tree) -> np.ndarray:
         """The logarithm of each leaf's probability, given the inputs around it."""
@@ -212,9 +215,7 @@ class Network:
         return out
 
     def gradient(self, context: np.ndarray, leaf: np.ndarray, tree: Tree) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of the negative log-likelihood of leaves: for embeddings, nodes and classes the rows used, their gradients and how often they are used."""
-        order = np.argsort(-tree.sizes(leaf), kind="stable")
-        context, leaf = np.take(context, order, axis=0), leaf[order]
+        """Of the negative log-likelihood of leaves, the longest paths first: for embeddings, nodes and classes the rows used, their gradients and how often they are used."""
         h = self.state(context)
         p, total = self.classes(h)
         p *= (1 / total)[:, None]
@@ -246,14 +247,16 @@ class Learner:
 
     def learn(self, leaf: np.ndarray, starts: np.ndarray) -> None:
         """One pass of Adagrad (a rate for each row) over the shuffled words of documents."""
-        context = contexts(self.vocabulary.inputs[leaf], starts)
+        context, sizes = contexts(self.vocabulary.inputs[leaf], starts), self.vocabulary.tree.sizes(leaf)
         order = np.random.default_rng(SEED).permutation(len(leaf))
         for k in range(0, len(leaf), BATCH):
             at = order[k : k + BATCH]
-            for own, squares, times, (used, g, n) in zip(self.weights, self.squares, self.times, self.network.gradient(context[at], leaf[at], self.vocabulary.tree), strict=True):
-                squares[used] += np.einsum("ij,ij->i", g, g) / HIDDEN
-                g *= (RATE / np.sqrt(squares[used]))[:, None]
-                own[used] -= g
+            at = at[np.argsort(-sizes[at], kind="stable")]
+            for own, squares, times, (used, g, n) in zip(self.weights, self.squares, self.times, self.network.gradient(np.take(context, at, axis=0), leaf[at], self.vocabulary.tree), strict=True):
+                square = squares[used] + np.einsum("ij,ij->i", g, g) / HIDDEN
+                squares[used] = square
+                g *= (RATE / np.sqrt(square))[:, None]
+                own[used] = np.take(own, used, axis=0) - g
                 times[used] += n
         self.seen += len(leaf)
 

@@ -75,12 +75,20 @@ def bare(word: str) -> str:
     return plain if not plain or plain[0].isalnum() and plain[-1].isalnum() else EDGE.sub("", plain)
 
 
+def bared(distinct: list[str]) -> pa.Array:
+    """``bare`` of each word; those of printable ASCII, which are most, are handled together."""
+    held = pa.array(distinct, pa.string())
+    plain = pc.ascii_is_printable(held)
+    other = [bare(w) for w in held.filter(pc.invert(plain)).to_pylist()]
+    return pc.replace_with_mask(pc.ascii_trim(pc.ascii_lower(held), characters=MARKS), pc.invert(plain), pa.array(other, pa.string()))
+
+
 def normal(words: Words) -> Words:
     """Words in lower case and without surrounding punctuation; what is punctuation only goes."""
-    seen: dict[str, int] = {}
-    to = np.fromiter((seen.setdefault(bare(w), len(seen)) for w in words.distinct), np.int64, len(words.distinct))
-    merged = Words(list(seen), to[words.ids] if len(words.ids) else words.ids.astype(np.int64), words.starts)
-    return only(merged, np.fromiter(map(bool, seen), bool, len(seen)))
+    coded = bared(words.distinct).dictionary_encode()
+    distinct, to = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    merged = Words(distinct, to[words.ids] if len(words.ids) else words.ids.astype(np.int64), words.starts)
+    return only(merged, np.fromiter(map(bool, distinct), bool, len(distinct)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
