@@ -45,3 +45,9 @@ def first_hit(rows: DataFrame, key: str, keys: Column, dictionary: DataFrame) ->
     met = asked.join(dictionary.select(F.col("key").alias("_key"), "name"), "_key", "left")
     found = met.groupBy("_row").agg(F.min_by("name", F.when(F.col("name").isNotNull(), F.col("_ord"))).alias("name"))
     return found.withColumnRenamed("_row", key)
+
+
+def filled(rows: DataFrame, held: DataFrame, key: str, column: str, otherwise: Column) -> DataFrame:
+    """Rows with a column of the values that ``held`` has for their key, computed from the row where it has none."""
+    met = rows.join(held.select(F.col(key).alias("_key"), F.col(column).alias("_held")), F.col(key) == F.col("_key"), "left")
+    return met.withColumn(column, F.coalesce("_held", otherwise)).drop("_key", "_held")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from framewell.functions import numbers, text
 from framewell.operators import components, edges, fingerprint, groups, records
+from framewell.plans import crystal_queries
+from framewell.session import cut_lineage
 
 #: Suppliers are numbered from here where they share ids with customers.
 SUPPLIERS = 1_000_000_000
@@ -53,9 +55,7 @@ CONTACTS = """contacts AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
-@query(f"""WITH {CONTACTS}
-SELECT cluster, ligand, sx, sy, sz, count(*) AS denticity FROM contacts GROUP BY cluster, ligand, sx, sy, sz""")
-def incidence_denticity(spark: SparkSession, folder: str) -> DataFrame:
+def counted(spark: SparkSession, folder: str) -> DataFrame:
     """Count the contacts of each (cluster, ligand, shift)."""
     return contacts(spark, folder).groupBy("cluster", "ligand", "sx", "sy", "sz").agg(F.count("*").alias("denticity"))
 
@@ -63,31 +63,6 @@ def incidence_denticity(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- edges
 
 
-@query("""SELECT p_size AS cell, a.p_partkey AS i, b.p_partkey AS j, b.y - a.y AS dy
-FROM (SELECT p_size, p_partkey, CAST(p_partkey % 50 AS INTEGER) AS y, floor(p_retailprice / 10) AS shell FROM part) a
-JOIN (SELECT p_size AS size_b, p_partkey, CAST(p_partkey % 50 AS INTEGER) AS y, floor(p_retailprice / 10) AS shell FROM part) b
-ON a.p_size = b.size_b AND a.p_partkey < b.p_partkey AND abs(a.y - b.y) <= 2 AND a.shell = b.shell""")
-def radius_neighbors(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of points (parts) of a box that are within a radius: a grid join on cells of the radius' size."""
-    own = table(spark, folder, "part").select("p_size", "p_partkey", (F.col("p_partkey") % 50).cast("int").alias("y"), F.floor(F.col("p_retailprice") / 10).alias("shell"))
-    here = own.withColumn("grid", F.floor(F.col("y") / 2))
-    there = here.select(F.col("p_size").alias("size_b"), F.col("p_partkey").alias("j"), F.col("y").alias("yb"), F.col("shell").alias("shell_b"), F.explode(F.array(*(F.col("grid") + k for k in (-1, 0, 1)))).alias("grid_b"))
-    met = here.join(there, (here.p_size == there.size_b) & (here.grid == there.grid_b) & (here.shell == there.shell_b) & (here.p_partkey < there.j) & (F.abs(here.y - there.yb) <= 2))
-    return met.select(F.col("p_size").alias("cell"), F.col("p_partkey").alias("i"), "j", (F.col("yb") - F.col("y")).alias("dy"))
-
-
-@query("""SELECT l_orderkey AS structure_id, NOT coalesce(bool_or(abs(a_q - b_q) < 2 AND (a_flag = 'N') = (b_flag = 'N')), false) AS clear
-FROM (SELECT DISTINCT l_orderkey FROM lineitem) s LEFT JOIN (
-  SELECT a.l_orderkey AS k, a.l_quantity AS a_q, b.l_quantity AS b_q, a.l_returnflag AS a_flag, b.l_returnflag AS b_flag
-  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber) p ON s.l_orderkey = p.k GROUP BY 1""")
-def overlap_flag(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether no two members of a structure that are of one sort, or neither is, come too close."""
-    own = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
-    members = own.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", (F.col("l_returnflag") == "N").alias("n")))).alias("m"))
-    close = F.exists("m", lambda a: F.exists("m", lambda b: (a["l_linenumber"] < b["l_linenumber"]) & (F.abs(a["l_quantity"] - b["l_quantity"]) < 2) & (a["n"] == b["n"])))
-    return members.select(F.col("l_orderkey").alias("structure_id"), (~close).alias("clear"))
-
-
 @query(f"""WITH {CONTACTS}
 SELECT cluster, ligand, sx, sy, sz, part FROM contacts c
 WHERE NOT EXISTS (SELECT 1 FROM (SELECT s_suppkey AS i, c_custkey AS j FROM supplier JOIN customer ON s_nationkey = c_nationkey) k
@@ -98,20 +73,6 @@ def cut_antijoin(spark: SparkSession, folder: str) -> DataFrame:
     return edges.cut(contacts(spark, folder), cuts, [], "cluster", "ligand").select("cluster", "ligand", "sx", "sy", "sz", "part")
 
 
-@query("""SELECT DISTINCT o_custkey AS i, l_suppkey AS j, c_nationkey AS comp_i, s_nationkey AS comp_j
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
-WHERE EXISTS (SELECT 1 FROM orders o2 JOIN lineitem l2 ON l2.l_orderkey = o2.o_orderkey WHERE o2.o_custkey = orders.o_custkey AND l2.l_suppkey = lineitem.l_suppkey AND o2.o_orderstatus = 'F')
-AND (c_nationkey < 12) <> (s_nationkey < 12)""")
-def genuine_contacts(spark: SparkSession, folder: str) -> DataFrame:
-    """Cut pairs that are real bonds and join a cluster component to another."""
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
-    pairs = lines.select(F.col("o_custkey").alias("i"), F.col("l_suppkey").alias("j"), "o_orderstatus")
-    real = pairs.select("i", "j").distinct().join(pairs.where("o_orderstatus = 'F'").select("i", "j").distinct(), ["i", "j"], "left_semi")
-    left = table(spark, folder, "customer").select(F.col("c_custkey").alias("i"), F.col("c_nationkey").alias("comp_i"))
-    right = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("j"), F.col("s_nationkey").alias("comp_j"))
-    return real.join(left, "i").join(right, "j").where((F.col("comp_i") < 12) != (F.col("comp_j") < 12)).select("i", "j", "comp_i", "comp_j")
-
-
 @query("""WITH RECURSIVE e AS (
   SELECT 100 + n_nationkey AS u, n_regionkey AS v FROM nation UNION SELECT 1000 + s_suppkey, 100 + s_nationkey FROM supplier
   UNION SELECT 1000000 + c_custkey, 100 + c_nationkey FROM customer),
@@ -236,7 +197,7 @@ def heaviest_component(spark: SparkSession, folder: str) -> DataFrame:
 SELECT ligand, count(*) AS contacts, count(*) = 1 AS terminal FROM i GROUP BY ligand""")
 def terminal_split(spark: SparkSession, folder: str) -> DataFrame:
     """Contacts of each ligand; with one it is terminal."""
-    return fingerprint.terminal_split(incidence_denticity(spark, folder), [])
+    return fingerprint.terminal_split(counted(spark, folder), [])
 
 
 @query(f"""WITH {CONTACTS}, i AS (SELECT DISTINCT cluster, ligand, sx, sy, sz FROM contacts),
@@ -244,7 +205,7 @@ n AS (SELECT c_mktsegment AS species, ligand, count(*) AS contacts FROM i JOIN c
 SELECT species, contacts, count(*) AS n FROM n GROUP BY species, contacts""")
 def contact_histogram(spark: SparkSession, folder: str) -> DataFrame:
     """How many ligands of each species have how many contacts."""
-    own = fingerprint.terminal_split(incidence_denticity(spark, folder), [])
+    own = fingerprint.terminal_split(counted(spark, folder), [])
     named = own.join(table(spark, folder, "customer").select(F.col("c_custkey").alias("ligand"), F.col("c_mktsegment").alias("species")), "ligand")
     return named.groupBy("species", "contacts").agg(F.count("*").alias("n"))
 
@@ -284,14 +245,15 @@ c{k} AS (SELECT c.kind, c.vertex, sha256(colour || '|' || coalesce(h, '')) AS co
 
 
 def colours(spark: SparkSession, folder: str, rounds: int) -> DataFrame:
-    rows = incidence_denticity(spark, folder)
+    rows = counted(spark, folder)
     meets = rows.select(F.lit("cluster").alias("kind"), F.col("cluster").alias("vertex"), F.lit("ligand").alias("other_kind"), F.col("ligand").alias("other")).unionByName(
         rows.select(F.lit("ligand").alias("kind"), F.col("ligand").alias("vertex"), F.lit("cluster").alias("other_kind"), F.col("cluster").alias("other")))
     named = table(spark, folder, "supplier").join(table(spark, folder, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.lit("cluster").alias("kind"), F.col("s_suppkey").alias("vertex"), F.sha2("n_name", 256).alias("colour"))
+    meets = cut_lineage(meets)
     found = named.unionByName(table(spark, folder, "customer").select(F.lit("ligand").alias("kind"), F.col("c_custkey").alias("vertex"), F.sha2("c_mktsegment", 256).alias("colour")))
     units = found.select("kind", "vertex", F.lit(1).cast("long").alias("units"))
     for _ in range(rounds):
-        found = fingerprint.refine(found, meets, units, [])
+        found = cut_lineage(fingerprint.refine(found, meets, units, []))
     return found
 
 
@@ -322,96 +284,21 @@ def fingerprint_hash(spark: SparkSession, folder: str) -> DataFrame:
     return counted.agg(F.sha2(F.concat(F.lit("["), text, F.lit("]")), 256).alias("fingerprint_hash"), F.count("*").alias("colours"))
 
 
-@query("""SELECT o_custkey AS structure_id, o_orderkey AS node, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) - 1 AS number FROM orders""")
-def renumber_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    """Nodes numbered from 0 within their structure, by kind and then id."""
-    own = Window.partitionBy("o_custkey").orderBy("o_orderpriority", "o_orderkey")
-    return table(spark, folder, "orders").select(F.col("o_custkey").alias("structure_id"), F.col("o_orderkey").alias("node"), (F.dense_rank().over(own) - 1).cast("long").alias("number"))
-
-
-@query("""SELECT structure_id, comp_id, n_edges, n_nodes FROM (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY n_edges DESC, n_nodes DESC, comp_id) AS r FROM (
-  SELECT l_suppkey AS structure_id, l_orderkey AS comp_id, count(*) AS n_edges, count(DISTINCT l_partkey) AS n_nodes FROM lineitem GROUP BY 1, 2)) WHERE r = 1""")
-def best_component(spark: SparkSession, folder: str) -> DataFrame:
-    """The component of most edges, then nodes, of each structure."""
-    own = table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("structure_id"), F.col("l_orderkey").alias("comp_id")).agg(F.count("*").alias("n_edges"), F.count_distinct("l_partkey").alias("n_nodes"))
-    best = F.min(F.struct((-F.col("n_edges")).alias("a"), (-F.col("n_nodes")).alias("b"), "comp_id"))
-    return own.groupBy("structure_id").agg(best.alias("m")).select("structure_id", F.col("m.comp_id").alias("comp_id"), (-F.col("m.a")).alias("n_edges"), (-F.col("m.b")).alias("n_nodes"))
-
-
 @query("""SELECT l_orderkey AS structure_id, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) ELSE 'MISMATCH' END AS topology FROM lineitem GROUP BY 1""")
 def all_equal_or_mismatch(spark: SparkSession, folder: str) -> DataFrame:
     """The name that all components agree on, or a word for none."""
     return table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("structure_id")).agg(groups.agreed(F.col("l_returnflag")).alias("topology"))
 
 
-@query("""SELECT d.doc_id, k.name FROM documents d LEFT JOIN (
-  SELECT doc_id, arg_min(n_name, ord) AS name FROM (
-    SELECT doc_id, 1 AS ord, n_name FROM documents JOIN nation ON n_name = upper(source)
-    UNION ALL SELECT doc_id, 2, n_name FROM documents JOIN nation ON n_nationkey = n_chars % 40
-    UNION ALL SELECT doc_id, 3, n_name FROM documents JOIN nation ON n_nationkey = doc_id % 30) GROUP BY doc_id) k USING (doc_id)""")
-def first_hit_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    """The name under the first of three keys that a dictionary has."""
-    keys = F.posexplode(F.array(F.upper("source"), (F.col("n_chars") % 40).cast("string"), (F.col("doc_id") % 30).cast("string"))).alias("ord", "key")
-    docs = table(spark, folder, "documents").select("doc_id", "source", "n_chars")
-    names = table(spark, folder, "nation").select(F.col("n_nationkey").cast("string").alias("key"), "n_name")
-    every = names.unionByName(names.select(F.col("n_name").alias("key"), "n_name"))
-    return docs.select("doc_id", keys).join(every, "key", "left").groupBy("doc_id").agg(F.min_by("n_name", F.when(F.col("n_name").isNotNull(), F.col("ord"))).alias("name"))
-
-
 # ---------------------------------------------------------------- text
 
 
-@query(r"""SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS links FROM pages""")
-def regex_parse(spark: SparkSession, folder: str) -> DataFrame:
-    """Fields of raw text by pattern."""
-    links = F.size(F.regexp_extract_all("html", F.lit(r'<a [^>]*href="([^"]*)"'), F.lit(1))).cast("long")
-    return table(spark, folder, "pages").select("page_id", F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")).alias("title"), links.alias("links"))
-
-
-@query("""SELECT doc_id, p - 1 AS block_no, length(parts[p]) AS n_chars FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM documents)""")
-def split_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Numbered blocks of each text."""
-    own = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("block_no", "block"))
-    return own.select("doc_id", F.col("block_no").cast("long").alias("block_no"), F.length("block").cast("long").alias("n_chars"))
-
-
 @query(r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(trim(regexp_extract(url, '([^/]*)$', 1)), '\s+', '_', 'g'), '[^A-Za-z0-9_.-]', '_', 'g'), ''), 'structure') || '__' || substr(sha1(url), 1, 12) AS record_id FROM pages""")
 def record_key(spark: SparkSession, folder: str) -> DataFrame:
     """Safe name and the beginning of a hash as key of a record."""
     return table(spark, folder, "pages").select("page_id", text.record_key(F.col("url"), F.regexp_extract("url", "([^/]*)$", 1)).alias("record_id"))
 
 
-@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
-def json_props(spark: SparkSession, folder: str) -> DataFrame:
-    """A field of JSON text."""
-    return table(spark, folder, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-
-
-@query("""SELECT l_suppkey AS comp_id, CASE WHEN sum((l_returnflag = 'R')::INT) > 3 * sum((l_returnflag = 'A')::INT) THEN 'rodlike'
-  WHEN sum((l_quantity >= 45)::INT) >= 70 THEN 'paddlewheel' WHEN count(DISTINCT l_partkey) < count(*) THEN 'repeated' ELSE 'still checking!' END AS sbu_type FROM lineitem GROUP BY 1""")
-def unit_type_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    """First rule that a unit's histogram meets."""
-    own = table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("comp_id")).agg(F.count_if(F.col("l_returnflag") == "R").alias("r"), F.count_if(F.col("l_returnflag") == "A").alias("a"), F.count_if(F.col("l_quantity") >= 45).alias("q"), F.count_distinct("l_partkey").alias("p"), F.count("*").alias("n"))
-    rule = F.when(F.col("r") > 3 * F.col("a"), "rodlike").when(F.col("q") >= 70, "paddlewheel").when(F.col("p") < F.col("n"), "repeated").otherwise("still checking!")
-    return own.select("comp_id", rule.alias("sbu_type"))
-
-
-@query("""SELECT l_suppkey AS structure_id, l_returnflag AS element, arg_min(l_partkey, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey) AS first_neighbor, arg_max(l_partkey, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey) AS last_neighbor FROM lineitem GROUP BY 1, 2""")
-def first_last_per_group(spark: SparkSession, folder: str) -> DataFrame:
-    """A value of the first and of the last member of each group."""
-    at = F.struct("l_orderkey", "l_linenumber", "l_partkey")
-    return table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("structure_id"), F.col("l_returnflag").alias("element")).agg(F.min_by("l_partkey", at).alias("first_neighbor"), F.max_by("l_partkey", at).alias("last_neighbor"))
-
-
-@query("""WITH g AS (SELECT p_brand AS structure_id, p_size AS comp_id, sum(CAST(p_partkey AS BIGINT)) AS s, count(*) AS n FROM part GROUP BY 1, 2)
-SELECT a.structure_id, a.comp_id AS i, b.comp_id AS j, CAST(abs(a.s // a.n - b.s // b.n) AS BIGINT) AS height FROM g a JOIN g b ON a.structure_id = b.structure_id AND a.comp_id < b.comp_id""")
-def layer_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Offsets between the centres of all layers of a structure."""
-    own = table(spark, folder, "part").groupBy(F.col("p_brand").alias("structure_id"), F.col("p_size").alias("i")).agg(F.floor(F.sum("p_partkey") / F.count("*")).alias("c"))
-    other = own.select("structure_id", F.col("i").alias("j"), F.col("c").alias("d"))
-    return own.join(other, "structure_id").where("i < j").select("structure_id", "i", "j", F.abs(F.col("c") - F.col("d")).alias("height"))
-
-
 # ---------------------------------------------------------------- tables that grow
 
 
@@ -448,8 +335,5 @@ def drop_failed_summary(spark: SparkSession, folder: str) -> DataFrame:
     return records.summary(own, "quality", ["text"])
 
 
-@query("""SELECT d.doc_id, coalesce(l.quality, CASE WHEN d.n_chars > 500 THEN 1 ELSE 0 END) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)""")
-def backfill(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored values, computed where there are none."""
-    own = table(spark, folder, "documents").select("doc_id", "n_chars").join(table(spark, folder, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return own.select("doc_id", F.coalesce("quality", F.when(F.col("n_chars") > 500, 1).otherwise(0)).alias("quality"))
+QUERIES |= crystal_queries.QUERIES
+ORACLES |= crystal_queries.ORACLES
