@@ -44,6 +44,7 @@ def main(argv: list[str] | None = None) -> int:
         structures.write_texts(nets.net_text(found).withColumnRenamed("cgd", "text"), args.out)
     else:
         database.run(spark, args.folder, args.out, COMMANDS[args.command], args.pattern, args.recursive)
+        return int(not spark.read.parquet(f"{args.out}/structures").where("error IS NOT NULL").isEmpty())
     failed = structures.structures(structures.read(spark, args.folder, args.pattern, args.recursive)).where("error IS NOT NULL")
     return int(not failed.isEmpty())
 

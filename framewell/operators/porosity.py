@@ -2,7 +2,8 @@
 
 Each structure is measured by itself: seeded random points for volume and
 surface, a voxel grid of distances to the nearest atom's surface for channels
-and spheres. Results approximate exact geometry and are marked so; a structure
+and spheres. ``grid_A`` is the widest spacing of the grid: SPACING, or more where a
+cell is so long that MOST voxels along an axis don't reach it. Results approximate exact geometry and are marked so; a structure
 that can't be measured is a row of nulls, not a lost job.
 """
 
@@ -22,6 +23,8 @@ from framewell.functions.elements import RADIUS
 SPACING, MOST, SWELL = 0.5, 60, 0.8
 # Names of the results.
 NAMES = ("AV_Volume_fraction", "AV_A^3", "ASA_A^2", "ASA_m^2/cm^3", "Number_of_channels", "LCD_A", "lfpd_A", "PLD_A")
+#: Spacing of the voxels that a structure was measured with.
+GRID = "grid_A"
 
 
 def clearance(points: np.ndarray, atoms: np.ndarray, radii: np.ndarray, cell: np.ndarray) -> np.ndarray:
@@ -93,7 +96,8 @@ def measure(elements: list[str], atoms: np.ndarray, cell: np.ndarray, probe: flo
     bare = clearance(shell, atoms, radii, cell) >= probe
     area = float((4 * np.pi * (radii + probe) ** 2 * bare.reshape(-1, share).mean(axis=1)).sum())
     part = float(free.mean()) * bool(through.any())
-    return dict(zip(NAMES, (part, part * volume, area * bool(part), area * bool(part) / volume * 1e4, number, 2 * float(max(depth.max(), 0)), 2 * widest, 2 * low), strict=True))
+    found = dict(zip(NAMES, (part, part * volume, area * bool(part), area * bool(part) / volume * 1e4, number, 2 * float(max(depth.max(), 0)), 2 * widest, 2 * low), strict=True))
+    return found | {GRID: float((np.linalg.norm(cell, axis=1) / shape).max())}
 
 
 def measured(atoms: DataFrame, probe: float = 1.86, samples: int = 10_000) -> DataFrame:
@@ -102,16 +106,16 @@ def measured(atoms: DataFrame, probe: float = 1.86, samples: int = 10_000) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("structure_id", *NAMES)}
+            out: dict[str, list] = {k: [] for k in ("structure_id", *NAMES, GRID)}
             for name, own, cell in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
                     found: dict = measure([a["element"] for a in own], np.array([[a["fx"], a["fy"], a["fz"]] for a in own]), np.array(cell), probe, samples, zlib.crc32(name.encode()))
                 except (ValueError, np.linalg.LinAlgError):
-                    found = dict.fromkeys(NAMES)
+                    found = dict.fromkeys((*NAMES, GRID))
                 out["structure_id"].append(name)
-                for k in NAMES:
+                for k in (*NAMES, GRID):
                     out[k].append(found[k])
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("structure_id", pa.string()), *((k, pa.int64() if k == "Number_of_channels" else pa.float64()) for k in NAMES)]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("structure_id", pa.string()), *((k, pa.int64() if k == "Number_of_channels" else pa.float64()) for k in (*NAMES, GRID))]))
 
-    schema = "structure_id string, " + ", ".join(f"`{k}` {'long' if k == 'Number_of_channels' else 'double'}" for k in NAMES)
+    schema = "structure_id string, " + ", ".join(f"`{k}` {'long' if k == 'Number_of_channels' else 'double'}" for k in (*NAMES, GRID))
     return rows.select("structure_id", "a", "cell").mapInArrow(run, schema).withColumn("approximate", F.lit(True))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from framewell.functions.text import base_name
 from framewell.operators import nets, records, units
 from framewell.plans.framework import Framework
+from framewell.session import cut_lineage
 from framewell.sources import structures, tables
 
 #: Each analysis by the name of its table.
@@ -53,13 +54,15 @@ def run(spark: SparkSession, folder: str, out: str, analyses: list[str], pattern
 
     A structure that can't be read, or has no result, is marked as done all the same: its row in ``structures`` has the error.
     """
-    parsed = structures.read(spark, folder, pattern, recursive)
+    parsed = cut_lineage(structures.read(spark, folder, pattern, recursive))
     facts = structures.structures(parsed).withColumn("mof_name", base_name(F.col("source"))).withColumn("seq", F.current_timestamp())
     tables.upsert(spark, facts, f"{out}/structures", ["structure_id"], "seq")
-    found = {}
+    found, shared = {}, {}
     for name in analyses:
         todo = pending(spark, parsed, out, name)
-        parent = Framework(todo)
+        # analyses that lack the same structures share what is derived from these
+        own = todo.agg(F.count("*"), F.sum(F.xxhash64("structure_id").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), "structure_id"))).first()
+        parent = shared.setdefault(tuple(own), Framework(todo))
         rows = ANALYSES[name](parent).withColumn("seq", F.current_timestamp())
         keys = ["structure_id", *(c for c in ("method", "scheme", "unit_id") if c in rows.columns)]
         tables.upsert(spark, rows, f"{out}/{name}/rows", keys, "seq")

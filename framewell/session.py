@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor a checkpoint folder exists (a local test
-    session) a temporary folder is created and set.
+    Only where neither the setting nor a checkpoint folder exists and all tasks run on
+    this machine (a local test session) a temporary folder is created and set.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="framewell-"))
     return spark.sparkContext.getCheckpointDir()
 

@@ -204,7 +204,7 @@ def parse(files: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str, pattern: str = "*.{cif,vasp,poscar,xyz}", recursive: bool = True) -> DataFrame:
     """Parsed structures of all files under a path, each file once."""
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).format("text").load(path)
-    named = files.select("*", F.col("_metadata.file_path").alias("source")).dropDuplicates(["source"])
+    named = files.select("*", F.col("_metadata.file_path").alias("source"))
     return parse(named.select(record_key(F.col("source")).alias("structure_id"), "source", F.col("value").alias("text")))
 
 

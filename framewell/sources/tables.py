@@ -77,12 +77,15 @@ def write_topologies(df: DataFrame, path: str, methods: list[str]) -> None:
 def upsert(spark: SparkSession, df: DataFrame, path: str, keys: list[str], seq: str) -> None:
     """Merge rows into a Parquet table, of a key's rows the one of greatest ``seq`` staying.
 
-    The merged table is written beside the old one and then takes its place, so a failed
-    write loses nothing.
+    The merged table is written beside the old one and then takes its place: a failed
+    write loses nothing, and a table that a run left under its old name, having ended
+    before the new one took its place, is put back by the next run.
     """
     files = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = files.getFileSystem(spark._jsc.hadoopConfiguration())
     new, old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.new"), spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old")
+    if store.exists(old) and not store.exists(files):
+        store.rename(old, files)
     held = spark.read.parquet(path) if store.exists(files) else df.where("false")
     records.upsert(held, df, keys, seq).write.mode("overwrite").parquet(f"{path}.new")
     store.delete(old, True)
