@@ -105,3 +105,10 @@ def contracted(incidences: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     pairs = lists.where(F.size("ends") == 2).select(*keys, a["node"].alias("u"), b["node"].alias("v"), *((a[s] - b[s]).cast("int").alias(s) for s in SHIFT))
     stars = lists.where(F.size("ends") > 2).select(*keys, "link", F.explode("ends").alias("e")).select(*keys, F.col("e.node").alias("u"), (-1 - F.col("link")).alias("v"), *(F.col(f"e.{s}").alias(s) for s in SHIFT))
     return canonical(pairs.unionByName(stars), keys)
+
+
+def partners(pairs: DataFrame, ids: DataFrame, order: str, keys: list[str] = KEYS) -> DataFrame:
+    """(id, partner): the other end of the first pair (by ``order``) that names an id at either end, null where none does. pairs: (i, j)."""
+    ends = F.explode(F.array(F.struct(F.col("i").alias("id"), F.col("j").alias("other")), F.struct(F.col("j").alias("id"), F.col("i").alias("other")))).alias("e")
+    first = pairs.select(*keys, F.col(order).alias("_at"), ends).groupBy(*keys, F.col("e.id").alias("id")).agg(F.min_by(F.col("e.other"), F.struct("_at", F.col("e.other"))).alias("partner"))
+    return ids.select(*keys, "id").join(first, [*keys, "id"], "left")

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewell.functions import elements
+from framewell.functions import elements, geometry
 from framewell.operators import components
 
 KEY = ["structure_id"]
@@ -197,3 +197,11 @@ def cuts(marks: DataFrame, bonds: DataFrame, scheme: str) -> DataFrame:
     found = F.array(*(F.struct(F.lit(name).alias("rule"), pairs.alias("pairs")) for name, pairs in rules.items()))
     rows = marks.select("structure_id", F.explode(found).alias("r")).select("structure_id", "r.rule", F.explode("r.pairs").alias("p")).select("structure_id", "rule", "p.i", "p.j").distinct()
     return rows.join(bonds.select("structure_id", "i", "j", "sx", "sy", "sz"), ["structure_id", "i", "j"]).select("structure_id", "rule", "i", "j", "sx", "sy", "sz")
+
+
+def planar_porphyrin(around: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(structure_id, atom_id) of metals with exactly four nitrogen neighbours, the places of which lie in a plane."""
+    own = around.where(F.col("metal") & (n_of("N") == 4)).select("structure_id", "atom_id", F.explode(of("N")).alias("n"))
+    place = atoms.select("structure_id", F.col("atom_id").alias("id"), F.array("x", "y", "z").alias("p"))
+    met = own.select("structure_id", "atom_id", F.col("n.id").alias("id")).join(place, ["structure_id", "id"]).groupBy("structure_id", "atom_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "p"))), lambda x: x["p"]).alias("p"))
+    return met.where(geometry.planar(*(F.col("p")[k] for k in range(4)))).select("structure_id", "atom_id")

@@ -11,10 +11,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewell.operators.nets import net_text
+from framewell.functions.text import is_net_text, record_key
+from framewell.operators.nets import net_edges, net_text
 
 SHELLS = 10
 # Coordination sequences of known nets, from the closed forms 4k^2+2 and 10k^2+2, and as listed for the others.
@@ -110,3 +111,11 @@ def described(edges: DataFrame, method: str) -> DataFrame:
     rows = own.groupBy("structure_id").agg(F.when(F.count_distinct("name") == 1, F.min("name")).otherwise("MISMATCH").alias("topology"), best.alias("b"))
     key = F.to_json(F.struct(F.col("b.dimension").alias("dimension"), F.col("b.sequences").alias("sequences")))
     return rows.join(net_text(edges), "structure_id").select("structure_id", F.lit(method).alias("method"), "topology", F.col("b.dimension").alias("dimension"), F.col("b.td10").alias("td10"), F.col("b.sequences").alias("sequences"), F.sha2(key, 256).alias("topology_hash"), "cgd")
+
+
+def identified(spark: SparkSession, folder: str, pattern: str = "*.cgd", recursive: bool = True) -> DataFrame:
+    """One row for each net file of a folder: what ``described`` tells, or an ``error`` where it holds no net."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).format("text").load(folder)
+    named = files.select(F.col("_metadata.file_path").alias("source"), "value").select(record_key(F.col("source")).alias("structure_id"), "source", F.col("value").alias("text"))
+    found = described(net_edges(named.where(is_net_text(F.col("text")))), "file")
+    return named.select("structure_id", "source").join(found, "structure_id", "left").withColumn("error", F.when(F.col("topology").isNull(), "no net"))

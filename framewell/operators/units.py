@@ -215,3 +215,8 @@ def dummies(cut: Cut, atoms: DataFrame) -> DataFrame:
     place = [F.col(f"f{x}") + F.col(f"s{x}") + F.col(f"i{x}") for x in "xyz"]
     xyz = [place[0] * F.col("cell")[0][k] + place[1] * F.col("cell")[1][k] + place[2] * F.col("cell")[2][k] for k in range(3)]
     return met.select("structure_id", "comp_id", F.col("i").alias("atom_id"), *(p.alias(x) for p, x in zip(xyz, "xyz", strict=True)))
+
+
+def coordination_sphere(spheres: Column, metal: Column, number: Column) -> Column:
+    """The first of arrays of elements that holds the metal and so many more; null if none does."""
+    return F.get(F.filter(spheres, lambda s: (F.size(s) == number + 1) & F.array_contains(s, metal)), F.lit(0))

@@ -132,3 +132,39 @@ def crystal_fallback(cgd: Column, name: Column) -> Column:
     """A CRYSTAL block of a periodic graph's lines, its headings dropped, where nothing was relaxed."""
     rows = F.filter(F.transform(F.split(cgd, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.upper(x).rlike("^(PERIODIC_GRAPH|ID|EDGES|END)"))
     return F.concat(F.lit("CRYSTAL\n  NAME "), name, F.lit("\n"), F.array_join(F.transform(rows, lambda x: F.concat(F.lit("  "), x)), "\n"), F.lit("\nEND\n"))
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """Components whose net has a name."""
+    return rows.where("name IS NOT NULL")
+
+
+def unnamed(rows: DataFrame) -> DataFrame:
+    """Components whose net has none."""
+    return rows.where("name IS NULL")
+
+
+def selected(rows: DataFrame, component: int | None = None) -> DataFrame:
+    """Each structure's component of a number; without a number the best one."""
+    return best(rows) if component is None else rows.where(F.col("component") == component)
+
+
+def counts(rows: DataFrame) -> DataFrame:
+    """Rows with the numbers of nodes and edges of each component added."""
+    return rows.withColumn("n_nodes", F.size("nodes")).withColumn("n_edges", F.size("edges"))
+
+
+def unnamed_hashes(rows: DataFrame, decimals: int = 8) -> DataFrame:
+    """(structure_id, hashes): a map from the unnamed components' numbers to their hashes."""
+    pairs = unnamed(rows).select("structure_id", F.struct("component", hashed(decimals).alias("hash")).alias("p"))
+    return pairs.groupBy("structure_id").agg(F.map_from_entries(F.array_sort(F.collect_list("p"))).alias("hashes"))
+
+
+def default_cell() -> Column:
+    """Lengths and angles of the unit cell that stands in for a missing one."""
+    return F.array(*(F.lit(x) for x in (1.0, 1.0, 1.0, 90.0, 90.0, 90.0)))
+
+
+def summary_line() -> Column:
+    """One line of a record: its key, name, dimension and TD10, those that are null as ``-``."""
+    return F.concat_ws("  ", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("structure_id", "topology", "dimension", "td10")))

@@ -7,19 +7,24 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewell.operators import records
+from framewell.sources import packed
 
 READERS = {"json": lambda r: r.option("multiLine", True).format("json"), "csv": lambda r: r.option("header", True).format("csv"), "parquet": lambda r: r.format("parquet"), "orc": lambda r: r.format("orc")}
 
 
 def load(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A table by its path's suffix: JSON, CSV, Parquet or ORC, else lines of text. Pickles aren't read: they can run code."""
+    """A table by its path's suffix: JSON, CSV, Parquet, ORC, MessagePack (keys with JSON) or a workbook (rows of cells), else lines of text. Pickles aren't read: they can run code."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind in ("p", "pkl", "pickle"):
         raise ValueError("pickled files aren't read, as loading one can run any code; write Parquet instead")
+    if kind == "msgpack":
+        return packed.read_msgpack(spark, path)
+    if kind == "xlsx":
+        return packed.read_workbook(spark, path)
     if kind not in READERS:
         return lines(spark, path)
     reader = READERS[kind](spark.read)
@@ -93,3 +98,19 @@ def upsert(spark: SparkSession, df: DataFrame, path: str, keys: list[str], seq:
         store.rename(files, old)
     store.rename(new, files)
     store.delete(old, True)
+
+
+def array_json(values: Column) -> Column:
+    """An array, nested or not, as JSON."""
+    return F.to_json(values)
+
+
+def json_array(text: Column, kind: str = "array<array<double>>") -> Column:
+    """JSON as an array; null where it isn't one."""
+    return F.from_json(text, kind)
+
+
+def names(spark: SparkSession, path: str) -> DataFrame:
+    """(key, name) of a dictionary of names, from MessagePack, JSON or CSV; for ``records.first_hit``."""
+    rows = load(spark, path)
+    return rows.select("key", F.get_json_object(F.concat(F.lit('{"v":'), "json", F.lit("}")), "$.v").alias("name")) if path.endswith(".msgpack") else rows.select("key", "name")
