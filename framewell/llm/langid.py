@@ -164,15 +164,30 @@ def estimate(languages: list[str], lang: np.ndarray, grams: np.ndarray, n: np.nd
     return Model(languages, seen[::-1], left[::-1], 1 / (len(np.unique(grams[:, -1])) + 1))
 
 
+def taken(sizes: dict[str, int], most: int) -> dict[str, float]:
+    """The share of each language's documents to take: all of small ones and the same number of others, ``most`` together."""
+    left, each, rest = most, 0.0, len(sizes)
+    for n in sorted(sizes.values()):
+        each = left / rest
+        if n > each:
+            break
+        left, rest, each = left - n, rest - 1, float("inf")
+    return {lang: min(1.0, each / n) for lang, n in sizes.items()}
+
+
 def fit(docs: DataFrame, most: int = MOST) -> Model | None:
     """Learn from ``lang`` of about ``most`` documents; a fifth of them calibrates. None if no text has a language and a letter.
 
+    Of each language up to the same number of documents is taken, so a rare one is learned at
+    every size; of more than ``most`` languages the most frequent ones are learned.
     The driver gets the counts of the sample's n-grams, which ``most`` bounds.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    n = known.count()
-    if n > most:
-        known = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
+    shares = taken(sizes, most)
+    if shares:
+        share = F.element_at(F.create_map(*(F.lit(x) for kv in shares.items() for x in kv)), F.col("lang"))
+        known = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 40)) < F.coalesce(share, F.lit(0.0)) * (1 << 40))
     known = cut_lineage(known)
     calibrates = labelled.part("doc_id", 5) == 0
     counted = known.where(~calibrates).mapInArrow(_counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()

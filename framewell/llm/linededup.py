@@ -2,10 +2,11 @@
 
 Every line becomes its key's 128-bit hash with document and position. Hashes
 are dealt out by range, sorted by document and position within, and streamed:
-whatever follows a key's first document is dropped. A key may hold a third of
-all rows, so this runs twice: first for each key and salt (of the document),
-where a hot key is spread over ``SALTS`` groups, then for each key's first
-documents of all salts, ``SALTS`` at most. Dropped positions return as a compressed
+whatever follows a key's first document is dropped. As hashes are uniform, the
+ranges' bounds are computed and no data are sampled for them. A key may hold a
+third of all rows, so this runs twice: first for each key and salt (of the document),
+where a hot key is spread over as many groups as there are partitions, then for
+each key's first documents of all salts. Dropped positions return as a compressed
 bitmap for each document: the lengths of the runs of kept lines, one before each
 dropped line. Texts are only touched again to apply it.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from framewell.session import cut_lineage, partitions
 
-#: Least length of a key in code points, and groups that a key is spread over.
+#: Least length of a key in code points, and groups that a key is spread over at least.
 SHORTEST, SALTS = 10, 16
 #: Fixed value: what is stripped from both ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
@@ -51,17 +52,23 @@ def occurrences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
+def dealt(rows: DataFrame, n: int, mixed: Column) -> DataFrame:
+    """Rows in n ranges of a hash; ``lot`` is the range."""
+    lot = F.least(F.floor((mixed / 2.0**64 + 0.5) * n), F.lit(n - 1)).cast("int")
+    return rows.withColumn("lot", lot).repartitionById(n, F.col("lot"))
+
+
 def late(group: list[str]) -> Column:
     """Whether a line's document comes after the first one that its group holds, in a stream sorted by document and position."""
-    return F.col("doc") > F.first("doc").over(Window.partitionBy(*group).orderBy("doc", "body", "pos"))
+    return F.col("doc") > F.first("doc").over(Window.partitionBy("lot", *group).orderBy("doc", "body", "pos"))
 
 
 def dropped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, body, pos) of each line to drop."""
     n = partitions(docs.sparkSession)
-    dealt = occurrences(docs, doc_id, text).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("byte")).repartitionByRange(n, "h1", "h2", "salt")
-    streamed = cut_lineage(dealt.withColumn("late", late(["h1", "h2", "salt"])).drop("salt"))
-    firsts = streamed.where(~F.col("late")).repartitionByRange(n, "h1", "h2").withColumn("late", late(["h1", "h2"]))
+    salted = occurrences(docs, doc_id, text).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(max(SALTS, n))).cast("int"))
+    streamed = cut_lineage(dealt(salted, n, F.xxhash64("h1", "h2", "salt")).withColumn("late", late(["h1", "h2", "salt"])).drop("salt", "lot"))
+    firsts = dealt(streamed.where(~F.col("late")), n, F.col("h1")).withColumn("late", late(["h1", "h2"])).drop("lot")
     return streamed.where("late").unionByName(firsts.where("late")).select("doc", "body", "pos")
 
 

@@ -121,3 +121,44 @@ def test_folds(spark):
 
     for r in spark.range(50).select("id", labelled.fold(F.col("id"), 5).alias("f")).collect():
         assert r["f"] == zlib.crc32(str(r["id"]).encode()) % 5
+
+
+def test_every_language_is_sampled():
+    assert langid.taken({}, 10) == {} and langid.taken({"a": 4, "b": 6}, 10) == {"a": 1.0, "b": 1.0}
+    assert langid.taken({"a": 10**9, "b": 2, "c": 100}, 22) == {"a": 10 / 10**9, "b": 1.0, "c": 0.1}
+
+
+def test_kneser_ney_equals_its_definition():
+    """Interpolated estimates of every order by counting, on a few characters."""
+    text = "abracadabra abracad"
+    order = langid.ORDER
+    padded = "\0" * (order - 1) + text
+    grams = [padded[k : k + order] for k in range(len(text))]
+    table = {}
+    for g in grams:
+        table[g] = table.get(g, 0) + 1
+    codes = np.frombuffer("".join(table).encode("utf-32-le"), np.uint32).reshape(-1, order)
+    model = langid.estimate(["x"], np.zeros(len(table), np.int64), codes, np.array(list(table.values())))
+    counts = [dict(table)]  # by order, the highest first
+    for _ in range(order - 1):
+        lower: dict[str, int] = {}
+        for g in counts[-1]:
+            lower[g[1:]] = lower.get(g[1:], 0) + 1
+        counts.append(lower)
+    discounts = []
+    for c in counts:
+        once, twice = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+        discounts.append(min(0.9, max(0.1, once / max(once + 2 * twice, 1))))
+
+    def p(k, gram):  # of the gram's last character after the others, by the k-th order from the top
+        if k == order:
+            return 1 / (len(counts[-1]) + 1)
+        total = sum(n for g, n in counts[k].items() if g[:-1] == gram[:-1])
+        if not total:
+            return p(k + 1, gram[1:])
+        kinds = sum(g[:-1] == gram[:-1] for g in counts[k])
+        return max(counts[k].get(gram, 0) - discounts[k], 0) / total + discounts[k] * kinds / total * p(k + 1, gram[1:])
+
+    for g in ["\0\0\0\0a", "abrac", "bracz", "zzzzz", "zzzab", "cadab"]:
+        codes = np.frombuffer(g.encode("utf-32-le"), np.uint32).reshape(1, order)
+        assert abs(np.exp(model.log_probabilities(codes))[0, 0] - p(0, g)) < 1e-9
