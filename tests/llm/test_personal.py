@@ -109,3 +109,29 @@ def test_a_window_holds_every_span_at_every_place():
             text = "x" * before + " " + own + " " + "y" * 150
             start, end = before + 1, before + 1 + len(own)
             assert any((s < start or s == 0) and end < s + personal.WINDOW for s in personal.windows(text)), (own, before)
+
+
+def test_forms_are_found_wherever_windows_end(tagger):
+    form = "jane.roe AT mail DOT org"
+    texts = [("Some words stand before the " * 12)[-28 - 4 * k :] + form + " and others after it. " * 6 for k in range(70)]
+    found = [personal.spans(tagger, [t])[0][1] for t in texts]
+    right = [any(kind == "email" and t[a:b] == form for a, b, kind in own) for t, own in zip(texts, found, strict=True)]
+    assert sum(right) / len(right) > 0.9
+    for own in found:
+        assert all(a[1] <= b[0] for a, b in zip(own, own[1:], strict=False))
+
+
+def test_empty_table_and_clashing_columns(spark, tagger):
+    docs = spark.createDataFrame([(1, "a@b.org", "own", "x"), (2, None, None, "y")], "doc_id long, text string, spans string, kind string")
+    rows = {r["doc_id"]: r for r in personal.find(docs, tagger).collect()}
+    assert [(s["start"], s["end"], s["kind"]) for s in rows[1]["base_spans"]] == [(0, 7, "email")] and rows[2]["spans"] == []
+    assert rows[1]["kind"] == "x" and set(rows[1].asDict()) == {"doc_id", "text", "kind", "base_spans", "spans"}
+    assert personal.find(docs.where("false"), tagger).count() == 0
+
+
+def test_all_spans_of_a_text_and_one_of_its_copies_are_learned(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(personal, "examples", lambda found: seen.append(found) or (np.zeros((0, 1), int), np.zeros((0, 1), int)))
+    many = " ".join(f"u{k}@host{k}.org" for k in range(9))
+    personal.fit(spark.createDataFrame([(k, many) for k in range(500)] + [(500, None)], "doc_id long, text string"))
+    assert sorted(s[1] for s in seen[0]) == sorted(many.split())
