@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from framewell.llm import bpe, decontamination, labelled, linededup, nearcopies, quality
 from framewell.llm.queries import table, tokenizer_path
-from framewell.session import checkpoint_dir, reach
+from framewell.session import checkpoint_dir, reach, remove
 
 
 def unused(docs: DataFrame, name: str) -> str:
@@ -58,11 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written to the shared folder and read again."""
+    """Apply the stages to documents; each result is written to the shared folder, read again, and deleted when the next one stands."""
     reach(spark)
     docs, root = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{root}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            remove(spark, f"{root}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

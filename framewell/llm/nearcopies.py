@@ -22,6 +22,8 @@ Cases: null and empty texts have no words and are classes by themselves
 each; shorter texts than a shingle are one shingle; copies share a class; a row
 with a null doc_id belongs to the class of its text, which is named by the
 least doc_id (null if there is none); an empty table gives an empty result.
+Documents join their text's class by its node, which copies share; nodes and classes
+that hold many rows are joined by themselves.
 Words are compared in lower case without surrounding punctuation.
 """
 
@@ -47,6 +49,8 @@ SLOTS = BANDS * WIDE
 LEFT, MEMBERS = 100_000, 400_000
 #: Bits of a shingle's hash within a document.
 KEEP = 44
+#: Keys that are joined by themselves at most: those that hold more than one in so many rows.
+HOT = 2000
 
 
 def shingles(found: words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,31 +276,49 @@ def links(docs: DataFrame, nodes: DataFrame, doc_id: str = "doc_id", text: str =
     return found, roots
 
 
-def classed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, body, class, links) of each document: the class's node (the text's own hash where there are no words), and the number of links found from its text to others."""
+def spread(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Rows with what ``facts`` (one row a key) has for their key, null where it has nothing; no task gets all rows of a frequent key.
+
+    Keys that hold one in HOT rows or more, which are HOT keys at most, meet their rows where these are; only the others are shuffled.
+    """
+    most = rows.count() / HOT
+    none = rows.where(F.col(key).isNull()).select("*", *(F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in facts.columns if c != key))
+    rows = rows.where(F.col(key).isNotNull())
+    hot = cut_lineage(rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= max(most, 100)).select(key))
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    few = marked.where("_hot IS NULL").drop("_hot").join(facts, key, "left")
+    many = marked.where("_hot").drop("_hot").join(F.broadcast(facts.join(F.broadcast(hot), key, "left_semi")), key, "left")
+    return few.unionByName(many).unionByName(none)
+
+
+def classed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, body, node) of each document (no node without words), and of each node (node, root, compared_links, first, class_first): its class, the number of compared texts that it is linked to, its and its class's first document."""
     sketched = cut_lineage(sketch(docs, doc_id, text))
     nodes = cut_lineage(sketched.where("node is not null").groupBy("node").agg(_first().alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
     found, roots = links(docs, nodes, doc_id, text)
-    degree = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-    known = sketched.select("doc_id", "body", "node").join(roots.join(degree, "node"), "node", "left")
-    return known.select("doc_id", "body", "node", F.coalesce("root", "node").alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    degree = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("compared_links"))
+    known = nodes.select("node", "first").join(roots.join(degree, "node"), "node", "left")
+    known = cut_lineage(known.select("node", F.coalesce("root", "node").alias("root"), F.coalesce("compared_links", F.lit(0)).cast("long").alias("compared_links"), "first"))
+    firsts = known.groupBy("root").agg(F.min("first").alias("class_first"))
+    return sketched.select("doc_id", "body", "node"), cut_lineage(spread(known, firsts, "root"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id, links) of each document; class_id is the least doc_id of its class."""
-    known = cut_lineage(classed(docs, doc_id, text))
-    names = known.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    named = known.join(names, "class", "left")
-    return named.select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "links")
+    """(doc_id, class_id, compared_links) of each document; class_id is the least doc_id of its class."""
+    rows, nodes = classed(docs, doc_id, text)
+    named = spread(rows, nodes.select("node", F.col("class_first.doc_id").alias("class_id"), "compared_links"), "node")
+    return named.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("compared_links", F.lit(0)).cast("long").alias("compared_links"))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents less all but the first of each class; every document without words stays, repeated rows once."""
-    known = cut_lineage(classed(docs, doc_id, text))
-    firsts = known.where("class is not null").groupBy("class").agg(_first().alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.body").alias("_body"))
-    wordless = known.where("class is null").select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).distinct()
-    stays = firsts.unionByName(wordless)
+    rows, nodes = classed(docs, doc_id, text)
+    firsts = nodes.select("class_first").distinct().select(F.col("class_first.doc_id").alias("_id"), F.col("class_first.body").alias("_body"))
+    wordless = rows.where("node is null").select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).distinct()
+    stays = cut_lineage(firsts.unionByName(wordless))
     held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_own"), F.xxhash64(text).alias("_text"))
     kept = held.join(stays, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_body")), "left_semi")
-    once = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_own", "_text").orderBy("_row"))).where("_nth = 1")
-    return once.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
+    repeated = rows.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("body") == F.col("_body")), "left_semi").groupBy("doc_id", "body").agg(F.count("*").alias("n")).where("n > 1")
+    if not repeated.isEmpty():  # only then are whole rows sorted
+        kept = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_own", "_text").orderBy("_row"))).where("_nth = 1")
+    return kept.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))

@@ -100,7 +100,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    """Class and number of links of every document."""
+    """Class of every document, and the number of compared texts that its text is linked to."""
     return nearcopies.classes(table(spark, folder, "documents").select("doc_id", "text"))
 
 
