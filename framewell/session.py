@@ -61,3 +61,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's shuffle partition count."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
