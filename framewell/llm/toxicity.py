@@ -3,7 +3,7 @@
 Labels are given for documents only, so tokens are labelled first: a word, or
 the beginning of words, is evidence if labelled toxic documents hold it
 significantly more often than others do, and its occurrences in toxic documents are toxic tokens. On
-sentences with these labels a field with two states is trained by numpy: a word
+all sentences of a bounded sample of documents with these labels a field with two states is trained by numpy: a word
 has hashed features (itself, its beginnings and end, its shape), states have transitions.
 Forward and backward passes give each token's probability to be toxic; likely
 tokens make spans, and a logistic regression on the largest and the summed
@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from framewell.llm import labelled, words
 from framewell.session import cut_lineage
 
-#: Bits of a feature's hash, rounds of training, and one in so many sentences without a toxic token that is trained on.
-BITS, ROUNDS, OTHERS = 16, 80, 6
+#: Bits of a feature's hash, rounds of training, and documents that the field is trained on at most about, half of them of each label.
+BITS, ROUNDS, FIELD = 16, 80, 2_000
 #: For a word to be evidence: toxic documents that hold it, in number and as a share (a few copies of one text are no evidence), the log likelihood ratio (G) against chance, and the log odds ratio.
 HOLD, SHARE, SURE, ODDS = 3, 0.02, 16.0, 1.5
 #: Lengths of word beginnings that are features and may be evidence.
@@ -64,8 +64,6 @@ def sentences(found: words.Words) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(found.ids)))
 
 
-
-
 @dataclass
 class Field:
     """Weights of features for the toxic state against the other, transitions, and start."""
@@ -109,33 +107,37 @@ class Field:
         return np.exp(a[:, 1] + b[:, 1] - z)
 
 
+def slopes(field: Field, x: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """The gradient of the log-likelihood of states y: by weights, bias, moves and start. x: features of the distinct words."""
+    inner = np.ones(len(ids), bool)
+    inner[starts] = False
+    to = np.flatnonzero(inner)
+    e = (field.weights[x].sum(axis=1) + field.bias)[ids]
+    a, b, z = field.passes(e, starts, sizes)
+    p = np.exp(a[:, 1] + b[:, 1] - z)
+    wrong = y - p
+    by_word = np.bincount(ids, weights=wrong, minlength=len(x))
+    found = [np.bincount(x.ravel(), weights=np.repeat(by_word, x.shape[1]), minlength=1 << BITS), np.array([wrong.sum()]), np.zeros((2, 2)), np.zeros(2)]
+    for i in range(2):
+        found[3][i] = ((y[starts] == i) - (p[starts] if i else 1 - p[starts])).sum()
+        for j in range(2):
+            expected = np.exp(a[to - 1, i] + field.moves[i, j] + (e[to] if j else 0) + b[to, j] - z[to])
+            found[2][i, j] = ((y[to - 1] == i) & (y[to] == j)).sum() - expected.sum()
+    return found
+
+
 def train(distinct: list[str], ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, truth: np.ndarray) -> Field:
     """Maximise the penalised likelihood of labelled tokens with Adam."""
-    x = features(distinct)
+    x, y = features(distinct), truth.astype(np.int64)
     field = Field(np.zeros(1 << BITS), -2.0, np.zeros((2, 2)), np.zeros(2))
     theta = [field.weights, np.array([field.bias]), field.moves, field.start]
     first, second = [np.zeros_like(p) for p in theta], [np.zeros_like(p) for p in theta]
-    inner = np.ones(len(ids), bool)
-    inner[starts] = False
-    to = np.flatnonzero(inner)
-    y = truth.astype(np.int64)
     for step in range(1, ROUNDS + 1):
-        e = (field.weights[x].sum(axis=1) + field.bias)[ids]
-        a, b, z = field.passes(e, starts, sizes)
-        p = np.exp(a[:, 1] + b[:, 1] - z)
-        wrong = y - p
-        by_word = np.bincount(ids, weights=wrong, minlength=len(distinct))
-        grads = [np.bincount(x.ravel(), weights=np.repeat(by_word, x.shape[1]), minlength=1 << BITS), np.array([wrong.sum()]), np.zeros((2, 2)), np.zeros(2)]
-        for i in range(2):
-            grads[3][i] = ((y[starts] == i) - (p[starts] if i else 1 - p[starts])).sum()
-            for j in range(2):
-                expected = np.exp(a[to - 1, i] + field.moves[i, j] + (e[to] if j else 0) + b[to, j] - z[to])
-                grads[2][i, j] = ((y[to - 1] == i) & (y[to] == j)).sum() - expected.sum()
-        for k, (p_, g) in enumerate(zip(theta, grads, strict=True)):
-            g = g - 0.5 * p_
+        for k, (p, g) in enumerate(zip(theta, slopes(field, x, ids, starts, sizes, y), strict=True)):
+            g = g - 0.5 * p
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.99 * second[k] + 0.01 * g * g
-            p_ += 0.15 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
+            p += 0.15 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
         field.bias = float(theta[1][0])
     return field
 
@@ -216,7 +218,7 @@ def evidence(sample: DataFrame) -> set[str]:
 
 
 def _examples(lexicon: set[str]):
-    """Sentences to train on: all of toxic documents with a toxic token, one in OTHERS of the rest."""
+    """All sentences of documents, with their toxic tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,22 +229,34 @@ def _examples(lexicon: set[str]):
                     continue
                 plain = [words.bare(w) for w in found.distinct]
                 known = np.fromiter((w in lexicon or any(begin(w, k) in lexicon for k in BEGINS) for w in plain), bool, len(plain))
-                truth = known[found.ids] & label[found.docs()]
+                owner = found.docs()
+                truth = known[found.ids] & label[owner]
                 starts, sizes = sentences(found)
-                has = np.add.reduceat(truth, starts) > 0
-                lot = words.mix(np.add.reduceat(words.hashes(found.distinct)[found.ids], starts) + np.arange(len(starts), dtype=np.uint64)) % np.uint64(OTHERS) == 0
-                rows = [(found.ids[s : s + n], truth[s : s + n]) for s, n in zip(starts[has | lot], sizes[has | lot], strict=True)]
-                yield pa.RecordBatch.from_pydict({"tokens": pa.array([[found.distinct[i] for i in r[0]] for r in rows], pa.list_(pa.string())), "truth": pa.array([r[1].tolist() for r in rows], pa.list_(pa.bool_()))})
+                ends = pa.array(np.append(starts, len(found.ids)).astype(np.int32))
+                tokens = pa.DictionaryArray.from_arrays(pa.array(found.ids, pa.int32()), pa.array(found.distinct, pa.string())).cast(pa.string())
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (tokens, pa.array(truth))]
+                own = some.column(some.schema.get_field_index("doc_id")).take(pa.array(owner[starts]))
+                yield pa.RecordBatch.from_arrays([own, pa.array(starts - found.starts[owner[starts]]), *lists], names=["doc_id", "at", "tokens", "truth"])
 
     return run
 
 
+def chosen(sample: DataFrame, most: int = FIELD) -> DataFrame:
+    """About half of ``most`` documents of each label (all where there are fewer), picked by a hash of the document."""
+    toxic = F.col("label") > 0
+    sizes = {r["k"]: r["n"] for r in sample.groupBy(toxic.alias("k")).agg(F.count("*").alias("n")).collect()}
+    share = F.when(toxic, F.lit(most / 2 / max(1, sizes.get(True, 0)))).otherwise(F.lit(most / 2 / max(1, sizes.get(False, 0))))
+    return sample.where(F.pmod(F.xxhash64(F.lit("field"), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+
+
 def tagger(labelled_docs: DataFrame) -> Field:
-    """The field trained on the evidence and sentences of labelled documents."""
+    """The field trained on the evidence of labelled documents and on all sentences of the chosen ones, in the order of documents."""
     lexicon = evidence(labelled_docs)
-    rows = labelled_docs.select("text", "label").mapInArrow(_examples(lexicon), "tokens array<string>, truth array<boolean>").collect()
+    kind = labelled_docs.schema["doc_id"].dataType.simpleString()
+    rows = chosen(labelled_docs).select("doc_id", "text", "label").mapInArrow(_examples(lexicon), f"doc_id {kind}, at long, tokens array<string>, truth array<boolean>").collect()
     if not rows:
         return Field(np.zeros(1 << BITS), -10.0, np.zeros((2, 2)), np.zeros(2))
+    rows.sort(key=lambda r: (r["doc_id"], r["at"], r["tokens"]))
     index: dict[str, int] = {}
     ids = np.array([index.setdefault(w, len(index)) for r in rows for w in r["tokens"]], np.int64)
     truth = np.array([t for r in rows for t in r["truth"]], bool)

@@ -64,10 +64,62 @@ def test_isotonic_scores_rise():
     assert (np.diff(at) > 0).all() and (np.diff(value) >= 0).all() and value[0] < 0.2 < 0.8 < value[-1]
 
 
+def test_slopes_of_the_field_equal_differences():
+    r = np.random.default_rng(3)
+    distinct = [f"w{k}" for k in range(6)]
+    x, ids, y = toxicity.features(distinct), r.integers(0, 6, 12), r.integers(0, 2, 12)
+    starts, sizes = np.array([0, 5, 6]), np.array([5, 1, 6])
+    field = toxicity.Field(np.zeros(1 << toxicity.BITS), 0.3, r.normal(size=(2, 2)), r.normal(size=2))
+    field.weights[x.ravel()] = r.normal(size=x.size)
+
+    def likelihood():
+        e = (field.weights[x].sum(axis=1) + field.bias)[ids]
+        _, _, z = field.passes(e, starts, sizes)
+        gold = sum(e[k] for k in np.flatnonzero(y)) + field.start[y[starts]].sum()
+        gold += sum(field.moves[y[t - 1], y[t]] for s, n in zip(starts, sizes, strict=True) for t in range(s + 1, s + n))
+        return gold - z[starts].sum()
+
+    weights, bias, moves, start = toxicity.slopes(field, x, ids, starts, sizes, y)
+    for own, g, at in [(field.weights, weights, x[0, 0]), (field.weights, weights, x[3, 2]), (field.moves, moves, (0, 1)), (field.moves, moves, (1, 1)), (field.start, start, 1)]:
+        kept = own[at]
+        own[at] = kept + 1e-5
+        up = likelihood()
+        own[at] = kept - 1e-5
+        down = likelihood()
+        own[at] = kept
+        assert abs((up - down) / 2e-5 - g[at]) < 1e-4
+    field.bias += 1e-5
+    up = likelihood()
+    field.bias -= 2e-5
+    assert abs((up - likelihood()) / 2e-5 - bias[0]) < 1e-4
+
+
+def test_the_field_learns_from_every_sentence_of_its_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda *a: seen.append(a))
+    docs = spark.createDataFrame([(k, f"one vile{k % 2} word. Two good words! three", float(k % 2)) for k in range(40)], "doc_id long, text string, label double")
+    for n in (1, 5):
+        toxicity.tagger(docs.repartition(n))
+    (distinct, ids, starts, sizes, _), (again, ids2, *_) = seen
+    assert len(starts) == 120 and sizes.sum() == 280 == len(ids) and distinct == again and (ids == ids2).all()
+    assert 5 <= toxicity.chosen(docs, 20).where("label > 0").count() <= 15
+
+
 def test_normal_equations_of_partitions_equal_the_whole(spark):
-    docs = quality.described(training(spark), ["doc_id"])
-    x = np.array([r["x"] for r in docs.collect()])
-    assert np.isfinite(x).all() and x.shape[0] == 60
+    docs = training(spark)
+    one, many = (quality.fit(docs.repartition(n), labels(spark), F.lit(True)) for n in (1, 7))
+    texts = spark.createDataFrame([(1, "good plain words"), (2, "BAD!! vile %%"), (3, "")], "doc_id long, text string")
+    a, b = ({r["doc_id"]: r["score"] for r in quality.score(texts, m).collect()} for m in (one, many))
+    assert all(abs(a[k] - b[k]) < 1e-6 for k in a)
+
+
+def test_columns_that_clash_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "good plain words", "s", "p", "r", "l")], "doc_id long, text string, score string, spans string, rejected string, lang_pred string")
+    assert quality.score(docs, quality.fit(training(spark), labels(spark), F.lit(True))).first()["score"] >= 0
+    row = toxicity.score(docs, toxicity.fit(training(spark), labels(spark), F.lit(True))).first()
+    assert 0 <= row["score"] <= 1 and row["spans"] == [] and row["rejected"] == "r"
+    found = langid.predict(docs, langid.fit(spark.createDataFrame([(k, "good plain words", "en") for k in range(20)], "doc_id long, text string, lang string"))).first()
+    assert found["lang_pred"] == "en" and found["rejected"] in (True, False) and found["spans"] == "p"
 
 
 def test_toxicity_cases_and_spans(spark, odd):
