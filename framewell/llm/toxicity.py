@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -218,7 +219,7 @@ def evidence(sample: DataFrame) -> set[str]:
 
 
 def _examples(lexicon: set[str]):
-    """All sentences of documents, with their toxic tokens."""
+    """All sentences of documents: their tokens, joined by blanks, and a byte for each token, 1 if it is toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +235,8 @@ def _examples(lexicon: set[str]):
                 starts, sizes = sentences(found)
                 ends = pa.array(np.append(starts, len(found.ids)).astype(np.int32))
                 tokens = pa.DictionaryArray.from_arrays(pa.array(found.ids, pa.int32()), pa.array(found.distinct, pa.string())).cast(pa.string())
-                lists = [pa.ListArray.from_arrays(ends, x) for x in (tokens, pa.array(truth))]
+                toxic = pa.Array.from_buffers(pa.binary(), len(starts), [None, ends.buffers()[1], pa.py_buffer(truth.astype(np.uint8))])
+                lists = [pc.binary_join(pa.ListArray.from_arrays(ends, tokens), " "), toxic]
                 own = some.column(some.schema.get_field_index("doc_id")).take(pa.array(owner[starts]))
                 yield pa.RecordBatch.from_arrays([own, pa.array(starts - found.starts[owner[starts]]), *lists], names=["doc_id", "at", "tokens", "truth"])
 
@@ -253,14 +255,15 @@ def tagger(labelled_docs: DataFrame) -> Field:
     """The field trained on the evidence of labelled documents and on all sentences of the chosen ones, in the order of documents."""
     lexicon = evidence(labelled_docs)
     kind = labelled_docs.schema["doc_id"].dataType.simpleString()
-    rows = chosen(labelled_docs).select("doc_id", "text", "label").mapInArrow(_examples(lexicon), f"doc_id {kind}, at long, tokens array<string>, truth array<boolean>").collect()
+    rows = chosen(labelled_docs).select("doc_id", "text", "label").mapInArrow(_examples(lexicon), f"doc_id {kind}, at long, tokens string, truth binary").collect()
     if not rows:
         return Field(np.zeros(1 << BITS), -10.0, np.zeros((2, 2)), np.zeros(2))
     rows.sort(key=lambda r: (r["doc_id"], r["at"], r["tokens"]))
     index: dict[str, int] = {}
-    ids = np.array([index.setdefault(w, len(index)) for r in rows for w in r["tokens"]], np.int64)
-    truth = np.array([t for r in rows for t in r["truth"]], bool)
-    sizes = np.array([len(r["tokens"]) for r in rows], np.int64)
+    ids = np.fromiter((index.setdefault(w, len(index)) for r in rows for w in r["tokens"].split(" ")), np.int64)
+    sizes = np.array([len(r["truth"]) for r in rows], np.int64)
+    truth = np.frombuffer(b"".join(bytes(r["truth"]) for r in rows), np.uint8).astype(bool)
+    del rows
     return train(list(index), ids, np.cumsum(sizes) - sizes, sizes, truth)
 
 
