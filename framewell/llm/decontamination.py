@@ -216,7 +216,7 @@ class Index:
 def index(items: list[tuple[int, str]]) -> Index:
     """Prepare (item_id, text) pairs."""
     column = pa.array([t or "" for _, t in items], pa.string())
-    found = words.normal(words.split(column))
+    found = words.normalised(column)
     own = words.hashes(found.distinct)[found.ids] if len(found.ids) else np.zeros(0, np.uint64)
     made = Index([i for i, _ in items], [own[a:b] for a, b in zip(found.starts[:-1], found.starts[1:], strict=True)])
     for k, item in enumerate(made.items):

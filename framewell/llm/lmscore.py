@@ -44,7 +44,7 @@ from framewell.llm import words
 from framewell.session import cut_lineage
 
 #: Bits of a rarer word's leaf, words on either side, width of the state, whose last unit is always 1, and classes.
-BITS, SIDE, HIDDEN, CLASSES = 12, 2, 12, 64
+BITS, SIDE, HIDDEN, CLASSES = 12, 2, 8, 64
 #: Words that are leaves themselves, at most (but INPUTS at least); leaves are numbered with 16 bits.
 HEAD = (1 << 16) - (1 << BITS)
 #: Inputs that are embedded: the most frequent words have their own, the rest share the last ones.
@@ -270,7 +270,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n) of all words, for each slice of a partition."""
     for batch in batches:
         for some in words.slices(batch, "text"):
-            found = words.normal(words.split(words.texts(some, "text")))
+            found = words.normalised(words.texts(some, "text"))
             n = np.bincount(found.ids, minlength=len(found.distinct)) if len(found.ids) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_pydict({"word": pa.array(words.hashes(found.distinct).view(np.int64)), "n": pa.array(n, pa.int64())})
 
@@ -312,7 +312,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep_tex
         vocabulary = shared.value
         for batch in batches:
             for some in words.slices(batch, text):
-                found = words.normal(words.split(words.texts(some, text)))
+                found = words.normalised(words.texts(some, text))
                 leaf, keys = vocabulary.leaves(found)
                 given = pa.StructArray.from_arrays([some.column(some.schema.get_field_index(c)) for c in names], names=names) if names else pa.nulls(some.num_rows, pa.struct([]))
                 leaves = pa.Array.from_buffers(pa.binary(), some.num_rows, [None, pa.py_buffer((2 * found.starts).astype(np.int32)), pa.py_buffer(leaf.astype(np.uint16))])

@@ -132,7 +132,7 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in words.slices(batch, "text"):
-                found = words.normal(words.split(words.texts(some, "text")))
+                found = words.normalised(words.texts(some, "text"))
                 doc, shingle, times = shingles(found)
                 bands = buckets(signatures(doc, shingle, times, some.num_rows))
                 n = np.bincount(doc, weights=times, minlength=some.num_rows).astype(np.int64)
@@ -155,7 +155,7 @@ def bags(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in words.slices(batch, "text"):
-                found = words.normal(words.split(words.texts(some, "text")))
+                found = words.normalised(words.texts(some, "text"))
                 doc, shingle, times = shingles(found)
                 number = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 hashes = words.mix(np.repeat(shingle, times) + (number.astype(np.uint64) << np.uint64(KEEP))) >> np.uint64(33)

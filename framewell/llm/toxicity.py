@@ -192,7 +192,7 @@ def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for some in words.slices(batch, "text"):
             label = some.column(some.schema.get_field_index("label")).to_numpy(zero_copy_only=False) > 0
-            found = words.normal(words.split(words.texts(some, "text")))
+            found = words.normalised(words.texts(some, "text"))
             for k in (0, *BEGINS):
                 index: dict[str, int] = {}
                 to = np.fromiter((index.setdefault(begin(w, k) if k else w, len(index)) for w in found.distinct), np.int64, len(found.distinct))

@@ -75,9 +75,8 @@ def bare(word: str) -> str:
     return plain if not plain or plain[0].isalnum() and plain[-1].isalnum() else EDGE.sub("", plain)
 
 
-def bared(distinct: list[str]) -> pa.Array:
+def bared(held: pa.Array) -> pa.Array:
     """``bare`` of each word; those of printable ASCII, which are most, are handled together."""
-    held = pa.array(distinct, pa.string())
     plain = pc.ascii_is_printable(held)
     other = [bare(w) for w in held.filter(pc.invert(plain)).to_pylist()]
     return pc.replace_with_mask(pc.ascii_trim(pc.ascii_lower(held), characters=MARKS), pc.invert(plain), pa.array(other, pa.string()))
@@ -85,10 +84,23 @@ def bared(distinct: list[str]) -> pa.Array:
 
 def normal(words: Words) -> Words:
     """Words in lower case and without surrounding punctuation; what is punctuation only goes."""
-    coded = bared(words.distinct).dictionary_encode()
-    distinct, to = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    merged = Words(distinct, to[words.ids] if len(words.ids) else words.ids.astype(np.int64), words.starts)
-    return only(merged, np.fromiter(map(bool, distinct), bool, len(distinct)))
+    return _merged(pa.array(words.distinct, pa.string()), words.ids, words.starts)
+
+
+def normalised(column: pa.Array) -> Words:
+    """``normal`` of ``split``, without a list of the words as they stand."""
+    lists = pc.utf8_split_whitespace(column)
+    coded = lists.flatten().dictionary_encode()
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return _merged(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), starts)
+
+
+def _merged(distinct: pa.Array, ids: np.ndarray, starts: np.ndarray) -> Words:
+    """Words whose bare forms are equal as one; empty ones go."""
+    coded = bared(distinct).dictionary_encode()
+    found, to = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    merged = Words(found, to[ids] if len(ids) else ids.astype(np.int64), starts)
+    return only(merged, np.fromiter(map(bool, found), bool, len(found))) if "" in found else merged
 
 
 def mix(x: np.ndarray) -> np.ndarray:

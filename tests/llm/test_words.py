@@ -10,13 +10,15 @@ from framewell.llm import words
 @given(st.lists(st.text(st.one_of(st.characters(max_codepoint=0x17F), st.sampled_from("aZ0_.,-\x00\x1b\x7fΣİß…“”")), max_size=8), max_size=12))
 def test_many_words_are_bared_as_one_is(some):
     some = [w.replace(" ", "") for w in some]  # words hold no white space
-    assert words.bared(some).to_pylist() == [words.bare(w) for w in some]
+    assert words.bared(pa.array(some, pa.string())).to_pylist() == [words.bare(w) for w in some]
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(max_size=40), max_size=6))
 def test_words_of_documents(texts):
     found = words.normal(words.split(pa.array(texts, pa.string())))
+    same = words.normalised(pa.array(texts, pa.string()))
+    assert (same.starts == found.starts).all() and [same.distinct[i] for i in same.ids] == [found.distinct[i] for i in found.ids]
     assert len(set(found.distinct)) == len(found.distinct)
     for k, text in enumerate(texts):
         plain = [words.bare(w) for w in pa.compute.utf8_split_whitespace(pa.array([text]))[0].as_py()]
