@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that are handled together; one longer text is handled alone.
-BYTES = 3_000_000
+BYTES = 2_000_000
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
