@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framewell.functions import numbers, text
 from framewell.operators import components, edges, fingerprint, groups, records
-from framewell.plans import crystal_queries
+from framewell.plans import crystal_queries, framework_queries
 from framewell.session import cut_lineage
 
 #: Suppliers are numbered from here where they share ids with customers.
@@ -335,5 +335,5 @@ def drop_failed_summary(spark: SparkSession, folder: str) -> DataFrame:
     return records.summary(own, "quality", ["text"])
 
 
-QUERIES |= crystal_queries.QUERIES
-ORACLES |= crystal_queries.ORACLES
+QUERIES |= crystal_queries.QUERIES | framework_queries.QUERIES
+ORACLES |= crystal_queries.ORACLES | framework_queries.ORACLES
