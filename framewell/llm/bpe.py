@@ -4,8 +4,9 @@ Distinct words are sorted as bytes, which is their trie in preorder. For every
 trie node (a prefix of some word) one state is kept: the last token of the
 prefix's encoding. A prefix is encoded by the one vocabulary token that ends it
 and is *stable* after the last token of what stands before, so a state follows
-from states above it, and what words share is encoded once. A word's tokens are
-read back from its node to the root.
+from states above it, and what words share is encoded once. Which tokens end at
+a prefix is told by an automaton over the tokens' bytes, whose state is kept
+beside it. A word's tokens are read back from its node to the root.
 
 Two neighbouring tokens are stable if encoding their joined bytes gives just
 these two tokens. That is decided by undoing merges at their boundary, latest
@@ -80,9 +81,45 @@ class Bpe:
         self.whole: dict[int, bool] = {}
         #: Tokens that their own bytes encode to; no other token is ever made.
         self.made = {b: i for b, i in self.id.items() if self.reachable(i)}
-        self.longest = max(map(len, self.made))
+        self.automaton()
         self.forget()
 
+    def automaton(self) -> None:
+        """States that know, after any bytes, which tokens end there: prefixes of tokens, linked to their longest proper suffix that is one."""
+        self.edges: dict[int, int] = {}  # state << 8 | byte: state
+        self.found: dict[int, int] = {}  # as edges, for bytes that lead back to a shorter prefix
+        own, self.fail, queue = {}, [0], []
+        for word, t in self.made.items():
+            at = 0
+            for b in word:
+                key = at << 8 | b
+                to = self.edges.get(key)
+                if to is None:
+                    to = self.edges[key] = len(self.fail)
+                    self.fail.append(0)
+                at = to
+            own[at] = t
+        below: list[list[tuple[int, int]]] = [[] for _ in self.fail]
+        for key, to in self.edges.items():
+            below[key >> 8].append((key & 255, to))
+        self.suffixes: list[tuple[int, ...]] = [()] * len(self.fail)  # tokens that end at a state, longest first
+        queue.append(0)
+        for at in queue:
+            for b, to in below[at]:
+                self.fail[to] = self.back(self.fail[at], b) if at else 0
+                shorter = self.suffixes[self.fail[to]]
+                self.suffixes[to] = (own[to], *shorter) if to in own else shorter
+                queue.append(to)
+        self.size = {t: len(word) for word, t in self.made.items()}
+
+    def back(self, at: int, b: int) -> int:
+        """The state after one more byte."""
+        while True:
+            to = self.edges.get(at << 8 | b)
+            if to is not None or not at:
+                return to or 0
+            at = self.fail[at]
+
     def forget(self) -> None:
         """Empty the cache of words: the row of each word, and the rows' tokens one after the other."""
         self.rows: dict[str, int] = {}
@@ -124,10 +161,12 @@ class Bpe:
 
     def traverse(self, words: Iterable[bytes]) -> Iterator[list[int]]:
         """Encodings of sorted words, each prefix shared with the word before being kept."""
-        made, length, pairs, text = self.made, self.longest, self.pairs, self.text
-        if len(pairs) > 300_000:
-            pairs.clear()
+        edges, found, suffixes, size, pairs = self.edges, self.found, self.suffixes, self.size, self.pairs
+        for held in (pairs, found):
+            if len(held) > 300_000:
+                held.clear()
         last: list[int] = [-1]  # last[i]: last token of the first i bytes
+        states = [0]  # states[i]: state after the first i bytes
         before = b""
         for word in words:
             n, keep = len(word), 0
@@ -135,25 +174,33 @@ class Bpe:
                 if x != y:
                     break
                 keep += 1
-            del last[keep + 1 :]
+            del last[keep + 1 :], states[keep + 1 :]
+            at = states[keep]
             for i in range(keep + 1, n + 1):
-                for j in range(i - length if i > length else 0, i):
-                    t = made.get(word[j:i])
-                    if t is not None:
-                        if not j:
-                            break
-                        pair = (last[j], t)
-                        fits = pairs.get(pair)
-                        if fits is None:
-                            fits = pairs[pair] = self.apart(*pair)
-                        if fits:
-                            break
+                key = at << 8 | word[i - 1]
+                to = edges.get(key)
+                if to is None:
+                    to = found.get(key)
+                    if to is None:
+                        to = found[key] = self.back(at, word[i - 1])
+                at = to
+                states.append(at)
+                for t in suffixes[at]:
+                    j = i - size[t]
+                    if not j:
+                        break
+                    pair = (last[j], t)
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        fits = pairs[pair] = self.apart(*pair)
+                    if fits:
+                        break
                 last.append(t)
             before, out, i = word, [], n
             while i:
                 t = last[i]
                 out.append(t)
-                i -= len(text[t])
+                i -= size[t]
             out.reverse()
             yield out
 

@@ -52,3 +52,12 @@ def test_query_digests(spark, library, tmp_path):
         ids = library.encode(TEXTS[r["doc_id"]] or "", add_special_tokens=False).ids
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_states_tell_all_tokens_that_end_at_a_prefix():
+    made = bpe.vocabulary(PATH)
+    for text in ("unbelievable  \u00e9\u4f60\U0001f600 12345", "aaaaaaaaaaaaaaaa\n\t--==", "internationalisation"):
+        data, at = text.encode(), 0
+        for end in range(1, len(data) + 1):
+            at = made.back(at, data[end - 1])
+            assert list(made.suffixes[at]) == [made.made[data[k:end]] for k in range(end) if data[k:end] in made.made]
