@@ -41,21 +41,23 @@ def framework_atoms(atoms: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def inner(members: DataFrame, bonds: DataFrame) -> DataFrame:
-    """(structure_id, comp_id, atom_id, element, metal, near) with neighbours within the component only."""
-    kinds = members.select("structure_id", "atom_id", "comp_id", "element", elements.is_metal(F.col("element")).alias("metal"))
+    """(structure_id, comp_id, atom_id, element, metal, axes, and counts of neighbours) with neighbours within the component only.
+
+    The joins are merges whatever sizes Spark supposes: it takes rows that come from lists to be as few as the lists, and would broadcast them.
+    """
+    kinds = members.select("structure_id", "atom_id", "comp_id", "element", elements.is_metal(F.col("element")).alias("metal"), F.size(stays_linked(F.col("lattice"))).alias("axes"))
     pairs = bonds.where("i <> j").select("structure_id", "i", "j").distinct()
-    a = pairs.join(kinds.select("structure_id", F.col("atom_id").alias("i"), "comp_id"), ["structure_id", "i"])
-    b = kinds.select("structure_id", F.col("atom_id").alias("j"), F.col("comp_id").alias("comp_j"), F.col("element").alias("e"), F.col("metal").alias("m"))
-    met = a.join(b, ["structure_id", "j"]).where("comp_id = comp_j")
-    near = met.groupBy("structure_id", F.col("i").alias("atom_id")).agg(F.count_if("m").alias("n_m"), F.count_if(F.col("e") == "O").alias("n_o"), F.count_if(F.col("e") == "C").alias("n_c"), F.count("*").alias("degree"))
-    return kinds.join(near, ["structure_id", "atom_id"], "left").fillna(0, ["n_m", "n_o", "n_c", "degree"])
+    other = kinds.select("structure_id", F.col("atom_id").alias("j"), "comp_id", F.col("element").alias("e"), F.col("metal").alias("m"))
+    met = pairs.join(other.hint("merge"), ["structure_id", "j"])
+    near = met.groupBy("structure_id", "comp_id", F.col("i").alias("atom_id")).agg(F.count_if("m").alias("n_m"), F.count_if(F.col("e") == "O").alias("n_o"), F.count_if(F.col("e") == "C").alias("n_c"), F.count("*").alias("degree"))
+    return kinds.join(near.hint("merge"), ["structure_id", "comp_id", "atom_id"], "left").fillna(0, ["n_m", "n_o", "n_c", "degree"])
 
 
 def unit_types(members: DataFrame, bonds: DataFrame) -> DataFrame:
     """(structure_id, comp_id, sbu_type): the first type whose pattern a component has."""
     own = inner(members, bonds)
-    axes = members.groupBy("structure_id", "comp_id").agg(F.any_value(F.size(stays_linked(F.col("lattice")))).alias("axes"))
     seen = own.groupBy("structure_id", "comp_id").agg(
+        F.any_value("axes").alias("axes"),
         F.count_if("metal").alias("metals"),
         F.bool_or((F.col("n_m") == 1) & (F.col("n_o") == 4) & F.col("degree").isin(5, 6)).alias("wheel"),
         F.bool_or(F.col("metal") & (F.col("n_o") == 5)).alias("wet"),
@@ -68,7 +70,7 @@ def unit_types(members: DataFrame, bonds: DataFrame) -> DataFrame:
         F.when(F.col("axes") == 1, "rodlike").when(F.col("wheel"), "paddlewheel").when(F.col("wet") & (F.col("metals") == 2), "paddlewheel_with_water").when(F.col("uio"), "UIO66_sbu")
         .when(F.col("eight") & (F.col("metals") == 1), "MOF32_sbu").when(F.col("irmof"), "IRMOF_sbu").when(F.col("sandwich"), "ferrocenelike").otherwise("still checking!")
     )
-    return seen.join(axes, ["structure_id", "comp_id"]).select("structure_id", "comp_id", kind.alias("sbu_type"))
+    return seen.select("structure_id", "comp_id", kind.alias("sbu_type"))
 
 
 def fragment_hashes(members: DataFrame, bonds: DataFrame, rounds: int = 4) -> DataFrame:
