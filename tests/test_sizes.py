@@ -1,9 +1,11 @@
 """What must hold on large tables: no join that broadcasts rows made from lists, rows by pairs, few candidates."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewell.operators import units
+from framewell.functions import elements
+from framewell.operators import bonds, units
 
 
 @pytest.fixture
@@ -35,3 +37,62 @@ def test_unit_types_count_neighbours_of_the_component_only(spark):
     own = spark.createDataFrame(rows, f"structure_id string, atom_id int, element string, comp_id int, lattice {none}")
     linked = spark.createDataFrame([(s, *e, k) for s in ("in", "out") for j in range(1, 5) for k in (0, 1) for e in ((0, j), (j, 0))], "structure_id string, i int, j int, sx int")
     assert {(r["structure_id"], r["comp_id"]): r["sbu_type"] for r in units.unit_types(own, linked).collect()} == {("in", 0): "IRMOF_sbu", ("out", 0): "still checking!", ("out", 9): "still checking!"}
+
+
+CELL, KINDS = [[7.0, 0.0, 0.0], [2.0, 8.0, 0.0], [-1.0, 3.0, 9.0]], ("Zn", "O", "C", "H", "Na")
+
+
+@pytest.fixture(scope="module")
+def dense(spark):
+    """Atoms crowded into a skew cell, some of them outside it, and one structure more that has an atom of no element."""
+    rng = np.random.default_rng(5)
+    rows = [("dense", k, KINDS[k % 5], *map(float, rng.uniform(-1, 2, 3))) for k in range(150)] + [("few", 0, "C", 0.0, 0.0, 0.0), ("few", 1, "X", 0.1, 0.0, 0.0)]
+    atoms = spark.createDataFrame(rows, "structure_id string, atom_id int, element string, fx double, fy double, fz double")
+    return atoms.withColumn("cell", F.array(*(F.array(*map(F.lit, v)) for v in CELL))).withColumn("pbc", F.array(*[F.lit(True)] * 3)).localCheckpoint(), rows
+
+
+def brute(rows, tolerance):
+    own = [r for r in rows if r[0] == "dense"]
+    f, radius = np.array([r[3:] for r in own]), np.array([elements.RADIUS[r[2]] for r in own])
+    found = {}
+    for s in np.ndindex(11, 11, 11):
+        s = np.array(s) - 5
+        d = np.linalg.norm((f[None] + s - f[:, None]) @ np.array(CELL), axis=2)
+        found |= {(int(i), int(j), *map(int, s)): float(d[i, j]) for i, j in np.argwhere(d < radius[:, None] + radius + tolerance) if i != j or s.any()}
+    return found
+
+
+@pytest.mark.parametrize("block", [8000, 10])
+def test_bonds_of_crowded_atoms_equal_brute_force(dense, block, monkeypatch):
+    monkeypatch.setattr(bonds, "BLOCK", block)
+    for most in (None, 1.0):
+        found = bonds.perceive(dense[0], most=most, carry=("element",)).collect()
+        want = {k: d for k, d in brute(dense[1], bonds.TOLERANCE).items() if most is None or d < most}
+        assert len(found) == len(want) and {(r["i"], r["j"], r["sx"], r["sy"], r["sz"]) for r in found} == set(want)
+        assert all(abs(r["dist"] - want[r["i"], r["j"], r["sx"], r["sy"], r["sz"]]) < 1e-9 and r["element_i"] == KINDS[r["i"] % 5] and r["element_j"] == KINDS[r["j"] % 5] for r in found)
+
+
+def test_bonds_join_no_atoms_to_atoms(dense):
+    assert plan(bonds.perceive(dense[0])).count("Join") <= 2  # the cutoff of each structure, named in the first and in the final plan
+
+
+def test_only_near_pairs_are_measured(dense, monkeypatch):
+    """Among many atoms of one block, pairs that are measured are a few times those that are bonds."""
+    import pyarrow as pa
+
+    n, rng = 4000, np.random.default_rng(1)
+    f = rng.random((n, 3))
+    table = pa.table({"structure_id": ["s"] * n, "block": pa.array(np.zeros(n, int)), "cell": [[16.0, 0, 0, 0, 16.0, 0, 0, 0, 16.0]] * n, "reach": np.full(n, 2.12), "large": np.full(n, 0.76), "atom_id": pa.array(np.arange(n, dtype=np.int32)), "r": np.full(n, 0.76)} | {f"g{x}": f[:, k] for k, x in enumerate("xyz")} | {f"{p}{x}": np.zeros(n, np.int32) for p in "sw" for x in "xyz"})
+    measured, root = [], np.sqrt
+    monkeypatch.setattr(bonds.np, "sqrt", lambda x: (measured.append(x.size), root(x))[1])
+    found = sum(b.num_rows for b in bonds._pairs(table, bonds.TOLERANCE, None, ()))
+    d = np.concatenate([np.linalg.norm((f[k : k + 500, None] - f[None]) * 16, axis=2).ravel() for k in range(0, n, 500)])
+    assert found == (d < 2.12).sum() - n and sum(measured) - 25 * n < 4 * found
+
+
+def test_orders_and_overlaps_without_all_bonds(dense):
+    met = bonds.perceive(dense[0])
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(bonds.orders_of(dense[0])) == rows(bonds.orders(dense[0], met))
+    for least in (0.0, 0.9, 1.0):
+        assert rows(bonds.crowded(dense[0], least)) == rows(bonds.overlapping(dense[0], met, least))
