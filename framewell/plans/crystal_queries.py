@@ -96,8 +96,7 @@ def overlap_flag(spark: SparkSession, folder: str) -> DataFrame:
 SELECT structure_id, i, j, sx, sy, sz, CAST(CASE WHEN ei = 'H' OR ej = 'H' THEN least(n, 1) ELSE n END AS DOUBLE) AS bond_order FROM o WHERE n > 0 AND NOT (mi AND ej = 'H') AND NOT (ei = 'H' AND mj)""")
 def bond_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders of covalent bonds by their length."""
-    own = points(spark, folder)
-    return bonds.orders(own, bonds.perceive(own))
+    return bonds.orders_of(points(spark, folder))
 
 
 @query(f"WITH {POINTS} SELECT structure_id, count(*) AS atoms, to_json(list(element ORDER BY atom_id))::VARCHAR AS labels FROM points GROUP BY structure_id")
