@@ -88,8 +88,7 @@ def radius_neighbors(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {POINTS} SELECT structure_id, NOT bool_or(coalesce(b.dist < 1.0::DOUBLE AND (ei = 'H') = (ej = 'H') AND i < j, false)) AS clear FROM points LEFT JOIN bonds b USING (structure_id) GROUP BY structure_id")
 def overlap_flag(spark: SparkSession, folder: str) -> DataFrame:
     """Whether no bonded atoms are too near, unless one is hydrogen."""
-    own = points(spark, folder)
-    return bonds.overlapping(own, bonds.perceive(own), 1.0)
+    return bonds.crowded(points(spark, folder), 1.0)
 
 
 @query(f"""WITH {POINTS}, o AS (SELECT *, CAST(dist < reach - 0::DOUBLE + 0.2::DOUBLE AS INTEGER) + CAST(dist < reach - 2 * 0.15::DOUBLE + 0.2::DOUBLE AS INTEGER) + CAST(dist < reach - 2 * 0.3::DOUBLE + 0.2::DOUBLE AS INTEGER) AS n FROM bonds)
