@@ -120,9 +120,7 @@ def layer_pairs(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("p_partkey")
     place = [(F.pmod(F.shiftright(k * 2654435761, b), F.lit(64)) / 4.0).cast("double").alias(x) for b, x in ((8, "x"), (14, "y"), (20, "z"))]
     own = table(spark, folder, "part").select(F.concat_ws("-", "p_brand", "p_size").alias("structure_id"), k.cast("int").alias("atom_id"), k.cast("int").alias("comp_id"), *place)
-    found = stacking.layers(own.select("structure_id", "atom_id", "comp_id"), own.drop("comp_id"))
-    rows = found.select("structure_id", F.explode(F.arrays_zip("layers", "lateral_offsets", "interlayer_heights")).alias("p"))
-    return rows.select("structure_id", F.col("p.layers")[0].alias("i"), F.col("p.layers")[1].alias("j"), F.col("p.lateral_offsets")[0].alias("dx"), F.col("p.lateral_offsets")[1].alias("dy"), F.col("p.interlayer_heights").alias("dz"))
+    return stacking.pairs(own.select("structure_id", "atom_id", "comp_id"), own.drop("comp_id"))
 
 
 # ---------------------------------------------------------------- molecules

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewell.functions import elements
-from framewell.operators import bonds, units
+from framewell.operators import bonds, stacking, units
 
 
 @pytest.fixture
@@ -96,3 +96,21 @@ def test_orders_and_overlaps_without_all_bonds(dense):
     assert rows(bonds.orders_of(dense[0])) == rows(bonds.orders(dense[0], met))
     for least in (0.0, 0.9, 1.0):
         assert rows(bonds.crowded(dense[0], least)) == rows(bonds.overlapping(dense[0], met, least))
+
+
+def test_pairs_of_layers_are_not_gathered(spark):
+    n = 60
+    own = spark.createDataFrame([("s", k, k % n, 0.1 * k, float(k % 7), 0.005 * k) for k in range(2 * n)] + [("one", 0, 0, 0.0, 0.0, 0.0)], "structure_id string, atom_id int, comp_id int, x double, y double, z double")
+    found = stacking.pairs(own.select("structure_id", "atom_id", "comp_id"), own.drop("comp_id"))
+    assert "collect_list" not in plan(found)
+    rows = found.collect()
+    assert len(rows) == len({(r["i"], r["j"]) for r in rows}) == (n - 1) ** 2 - (n - 2) and all(r["structure_id"] == "s" and r["i"] < n and r["j"] > 1 and r["i"] != r["j"] for r in rows)
+    told = stacking.layers(own.select("structure_id", "atom_id", "comp_id"), own.drop("comp_id")).collect()
+    assert len(told) == 1 and [(*a, *b, c) for a, b, c in zip(told[0]["layers"], told[0]["lateral_offsets"], told[0]["interlayer_heights"], strict=True)] == sorted(tuple(r)[1:] for r in rows)
+
+
+def test_hundredths_are_those_of_bround(spark):
+    rng = np.random.default_rng(3)
+    some = [*map(float, rng.uniform(0, 50, 3000)), *(k / 1000 for k in range(2000)), *(k / 200 for k in range(2000)), 0.0, 1e11 / 3, 1e12, 1e15 / 3, 1e300, float("inf"), 0.125, 0.375, 2.675, 1.005]
+    rows = spark.createDataFrame([(x,) for x in some], "x double")
+    assert rows.where(~stacking._hundredths(F.col("x")).eqNullSafe(F.bround("x", 2))).count() == 0
