@@ -40,6 +40,21 @@ def cut(bonds: DataFrame, cuts: DataFrame, keys: list[str] = KEYS, u: str = "i",
     return bonds.join(pairs, [*keys, u, v], "left_anti")
 
 
+def cut_alike(bonds: DataFrame, firsts: DataFrame, seconds: DataFrame, keys: list[str] = KEYS, u: str = "i", v: str = "j") -> DataFrame:
+    """What ``cut`` leaves where every first and second of one kind are a cut pair, without a row for each pair; firsts, seconds: (node, kind).
+
+    The kinds of a node go to the bonds' ends, so the work grows with bonds and nodes. The joins are merges, as no side is small.
+    """
+    kinds = lambda nodes, name: nodes.groupBy(*keys, "node").agg(F.collect_set("kind").alias(name))
+    known = kinds(firsts, "first").join(kinds(seconds, "second").hint("merge"), [*keys, "node"], "full")
+    met = bonds
+    for end in (u, v):
+        side = known.select(*keys, F.col("node").alias(end), F.col("first").alias(f"_first_{end}"), F.col("second").alias(f"_second_{end}"))
+        met = met.join(side.hint("merge"), [*keys, end], "left")
+    alike = lambda a, b: F.coalesce(F.arrays_overlap(f"_first_{a}", f"_second_{b}"), F.lit(False))
+    return met.where(~(alike(u, v) | alike(v, u))).select(*bonds.columns)
+
+
 def contacts(cuts: DataFrame, bonds: DataFrame, members: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Cut pairs that are bonds and join a cluster's atom to a ligand's; members: (atom_id, comp_id, is_cluster)."""
     pairs = cuts.select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewell.functions import elements
-from framewell.operators import bonds, stacking, units
+from framewell.operators import bonds, edges, stacking, units
 
 
 @pytest.fixture
@@ -114,3 +114,20 @@ def test_hundredths_are_those_of_bround(spark):
     some = [*map(float, rng.uniform(0, 50, 3000)), *(k / 1000 for k in range(2000)), *(k / 200 for k in range(2000)), 0.0, 1e11 / 3, 1e12, 1e15 / 3, 1e300, float("inf"), 0.125, 0.375, 2.675, 1.005]
     rows = spark.createDataFrame([(x,) for x in some], "x double")
     assert rows.where(~stacking._hundredths(F.col("x")).eqNullSafe(F.bround("x", 2))).count() == 0
+
+
+def test_cut_of_kinds_equals_cut_of_pairs(spark):
+    firsts = spark.createDataFrame([(1, 7), (1, 8), (2, 8), (3, None), (5, 9)], "node int, kind int")
+    seconds = spark.createDataFrame([(1, 9), (10, 7), (11, 8), (12, None), (2, 8), (2, 8)], "node int, kind int")
+    ends = (1, 2, 3, 5, 10, 11, 12, 99, None)
+    linked = spark.createDataFrame([(a, b, s) for a in ends for b in ends for s in (0, 1)], "i int, j int, sx int")
+    pairs = firsts.withColumnRenamed("node", "i").join(seconds.withColumnRenamed("node", "j"), "kind").select("i", "j")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(edges.cut_alike(linked, firsts, seconds, [])) == rows(edges.cut(linked, pairs, []).select("i", "j", "sx"))
+
+
+def test_cut_contacts_make_no_row_for_each_pair(spark, monkeypatch):
+    from framewell.plans import catalogue
+
+    monkeypatch.setattr(catalogue.edges, "cut", None)
+    assert "s_nationkey" not in "".join(x for x in plan(catalogue.cut_antijoin(spark, "/root/testdata/sf0.001")).splitlines() if "Join" in x)
