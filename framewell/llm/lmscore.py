@@ -101,12 +101,18 @@ class Tree:
     def sizes(self, leaf: np.ndarray) -> np.ndarray:
         return self.starts[leaf + 1] - self.starts[leaf]
 
+    def longest(self, leaf: np.ndarray) -> np.ndarray:
+        """The order of leaves by their paths' sizes, the longest first."""
+        sizes = self.sizes(leaf)
+        return np.argsort((sizes.max(initial=0) - sizes).astype(np.uint16), kind="stable")
+
     def steps(self, leaf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Node and turn of each step of the paths to leaves that are sorted by their paths' sizes, the longest first; each step is one of the first leaves."""
-        left, at = self.sizes(leaf), self.starts[leaf]
-        for step in range(left[0] if len(left) else 0):
-            own = at[: np.searchsorted(-left, -step, side="left")] + step
-            yield self.nodes[own], self.turns[own]
+        at = self.starts[leaf]
+        left = np.bincount(self.starts[leaf + 1] - at)
+        for n in (len(leaf) - np.cumsum(left))[:-1].tolist():
+            yield np.take(self.nodes, at[:n]), np.take(self.turns, at[:n])
+            at += 1
 
 
 @dataclass
@@ -132,36 +138,65 @@ class Vocabulary:
     def leaves(self, found: words.Words) -> tuple[np.ndarray, np.ndarray]:
         """The leaf of each word, and the hash of each distinct word."""
         keys = words.hashes(found.distinct)
+        return self.leaf(words.Keyed(keys, found.ids, found.starts)), keys
+
+    def leaf(self, found: words.Keyed) -> np.ndarray:
+        """The leaf of each word."""
+        keys = found.keys
         leaf = (keys >> np.uint64(64 - BITS)).astype(np.int64) + len(self.known)
         if len(self.known):
             at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
             leaf = np.where(self.known[at] == keys, at, leaf)
-        return leaf[found.ids] if len(found.ids) else np.zeros(0, np.int64), keys
+        return np.take(leaf, found.ids) if len(found.ids) else np.zeros(0, np.int64)
 
 
 def contexts(inputs: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The inputs around each word; beyond a document's ends they are INPUTS."""
-    size = np.diff(starts)
-    first, last = np.repeat(starts[:-1], size), np.repeat(starts[1:], size)
-    padded = np.concatenate([np.full(SIDE, INPUTS), inputs, np.full(SIDE, INPUTS)])
-    out, at = np.empty((len(inputs), len(PLACES)), np.int64), np.arange(len(inputs))
+    at = np.arange(len(inputs)) + np.repeat(SIDE * np.arange(1, len(starts)), np.diff(starts))
+    padded = np.full(len(inputs) + SIDE * len(starts), INPUTS)  # edges before, between and after the documents
+    padded[at] = inputs
+    out = np.empty((len(inputs), len(PLACES)), np.int64)
     for k, step in enumerate(PLACES):
-        own = padded[SIDE + step : SIDE + step + len(inputs)]
-        out[:, k] = np.where(at + step < first, INPUTS, own) if step < 0 else np.where(at + step < last, own, INPUTS)
+        out[:, k] = np.take(padded, at + step)
     return out
 
 
 def summed(keys: np.ndarray, rows: np.ndarray, times: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each different one of 16-bit keys, the sum of its rows, and how often it occurs; each row has so many consecutive keys."""
-    order = np.argsort(keys, kind="stable")
-    sort = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], sort[1:] != sort[:-1]])) if len(keys) else np.zeros(0, np.int64)
     if not len(keys):
-        return first, rows, first
-    pairs = np.take(rows, order // times, axis=0).view(np.complex64)  # two numbers are added at once
+        return np.zeros(0, np.int64), rows, np.zeros(0, np.int64)
+    kind, low = (np.uint32, 16) if len(keys) <= 1 << 16 else (np.uint64, 48)
+    sort = keys.astype(kind)
+    sort <<= kind(low)
+    sort |= np.arange(len(keys), dtype=kind)
+    sort.sort()  # by key, then by place: numbers are sorted faster than places by them
+    order = (sort & kind((1 << low) - 1)).astype(np.int64)
+    sort >>= kind(low)
+    first = np.flatnonzero(np.concatenate([[True], sort[1:] != sort[:-1]]))
+    pairs = np.take(rows, order // times if times > 1 else order, axis=0).view(np.complex64)  # two numbers are added at once
     return sort[first].astype(np.int64), np.add.reduceat(pairs, first, axis=0).view(np.float32), np.diff(np.append(first, len(keys)))
 
 
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The products of rows, added in an order that depends on no row's place."""
+    pairs = (a * b).view(np.complex64)
+    out = pairs[:, 0] + pairs[:, 1]
+    for k in range(2, HIDDEN // 2):
+        out += pairs[:, k]
+    return out.real + out.imag
+
+
+def spread(x: np.ndarray) -> np.ndarray:
+    """Each number as a row of it: whole arrays are multiplied faster than rows by numbers."""
+    return np.repeat(x, HIDDEN).reshape(-1, HIDDEN)
+
+
+def put(rows: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """Replace whole rows."""
+    kind = f"V{HIDDEN * rows.itemsize}"
+    np.put(rows.view(kind), at, values.view(kind))
+
+
 @dataclass
 class Network:
     """Embeddings (places x inputs and edge, hidden), weights of the inner nodes and of the classes (hidden; the last one is the bias)."""
@@ -194,23 +229,25 @@ class Network:
         return h
 
     def classes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What the probabilities of classes are in proportion to, and its sum; in whole blocks of rows, so that a row's place in them changes no bit."""
+        """What the probabilities of classes are in proportion to, and its sum; in whole blocks of rows, so that a row's place in them changes next to nothing."""
         n = len(h)
-        x = np.concatenate([h, np.zeros((-n % 64, HIDDEN), np.float32)]) @ self.top.T
-        np.exp(np.minimum(x, 80, out=x), out=x)
+        x = (np.concatenate([h, np.zeros((-n % 64, HIDDEN), np.float32)]) if n % 64 else h) @ self.top.T
+        if not np.abs(self.top).sum(axis=1).max() < 80:  # a state's units are within -1 and 1
+            np.minimum(x, 80, out=x)
+        np.exp(x, out=x)
         return x[:n], x.sum(axis=1)[:n]
 
     def log_probabilities(self, context: np.ndarray, leaf: np.ndarray, tree: Tree) -> np.ndarray:
         """The logarithm of each leaf's probability, given the inputs around it."""
         out = np.empty(len(leaf))
-        order = np.argsort(-tree.sizes(leaf), kind="stable")
+        order = tree.longest(leaf)
         for k in range(0, len(leaf), STEP):
             at = order[k : k + STEP]
-            own, h = leaf[at], self.state(context[at])
+            own, h = leaf[at], self.state(np.take(context, at, axis=0))
             x, total = self.classes(h)
             found = np.log(x[np.arange(len(at)), tree.classes[own]].astype(np.float64)) - np.log(total.astype(np.float64))
             for nodes, turns in tree.steps(own):
-                found[: len(nodes)] -= np.log1p(np.exp(-turns * np.einsum("ij,ij->i", np.take(self.out, nodes, axis=0), h[: len(nodes)])))
+                found[: len(nodes)] -= np.log(1 + np.exp(-turns * dots(np.take(self.out, nodes, axis=0), h[: len(nodes)])))
             out[at] = found
         return out
 
@@ -219,20 +256,19 @@ class Network:
         h = self.state(context)
         p, total = self.classes(h)
         p *= (1 / total)[:, None]
-        p[np.arange(len(leaf)), tree.classes[leaf]] -= 1
-        dh, seen, into = p @ self.top, [], []
+        p.reshape(-1)[np.arange(0, p.size, p.shape[1]) + tree.classes[leaf]] -= 1
+        dh, size, at = p @ self.top, int(tree.sizes(leaf).sum()), 0
+        seen, into = np.empty(size, np.uint16), np.empty((size, HIDDEN), np.float32)
         for nodes, turns in tree.steps(leaf):
-            w, own = np.take(self.out, nodes, axis=0), h[: len(nodes)]
-            g = (-turns / (1 + np.exp(turns * np.einsum("ij,ij->i", w, own))))[:, None]
-            into.append(own * g)
+            w, own, end = np.take(self.out, nodes, axis=0), h[: len(nodes)], at + len(nodes)
+            g = spread(-turns / (1 + np.exp(turns * dots(w, own))))
+            np.multiply(own, g, out=into[at:end])
             w *= g
             dh[: len(nodes)] += w
-            seen.append(nodes)
+            seen[at:end], at = nodes, end
         dh *= 1 - h * h  # none for the constant
         places = (context + np.arange(len(PLACES)) * (INPUTS + 1)).astype(np.uint16).ravel()
-        found = [summed(places, dh, len(PLACES))]
-        found.append(summed(np.concatenate(seen), np.concatenate(into)) if seen else summed(np.zeros(0, np.uint16), h[:0]))
-        return [*found, (np.arange(len(p.T)), p.T @ h, np.full(len(p.T), len(leaf)))]
+        return [summed(places, dh, len(PLACES)), summed(seen, into), (np.arange(len(p.T)), p.T @ h, np.full(len(p.T), len(leaf)))]
 
 
 class Learner:
@@ -247,16 +283,16 @@ class Learner:
 
     def learn(self, leaf: np.ndarray, starts: np.ndarray) -> None:
         """One pass of Adagrad (a rate for each row) over the shuffled words of documents."""
-        context, sizes = contexts(self.vocabulary.inputs[leaf], starts), self.vocabulary.tree.sizes(leaf)
+        context = contexts(self.vocabulary.inputs[leaf], starts)
         order = np.random.default_rng(SEED).permutation(len(leaf))
         for k in range(0, len(leaf), BATCH):
             at = order[k : k + BATCH]
-            at = at[np.argsort(-sizes[at], kind="stable")]
+            at = at[self.vocabulary.tree.longest(leaf[at])]
             for own, squares, times, (used, g, n) in zip(self.weights, self.squares, self.times, self.network.gradient(np.take(context, at, axis=0), leaf[at], self.vocabulary.tree), strict=True):
-                square = squares[used] + np.einsum("ij,ij->i", g, g) / HIDDEN
+                square = np.take(squares, used) + dots(g, g) / HIDDEN
                 squares[used] = square
-                g *= (RATE / np.sqrt(square))[:, None]
-                own[used] = np.take(own, used, axis=0) - g
+                g *= spread(RATE / np.sqrt(square))
+                put(own, used, np.take(own, used, axis=0) - g)
                 times[used] += n
         self.seen += len(leaf)
 
@@ -270,9 +306,9 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n) of all words, for each slice of a partition."""
     for batch in batches:
         for some in words.slices(batch, "text"):
-            found = words.normalised(words.texts(some, "text"))
-            n = np.bincount(found.ids, minlength=len(found.distinct)) if len(found.ids) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"word": pa.array(words.hashes(found.distinct).view(np.int64)), "n": pa.array(n, pa.int64())})
+            found = words.keyed(words.texts(some, "text"))
+            n = np.bincount(found.ids, minlength=len(found.keys)) if len(found.ids) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_pydict({"word": pa.array(found.keys.view(np.int64)), "n": pa.array(n, pa.int64())})
 
 
 def frequent(counts: DataFrame) -> dict[int, int]:
@@ -312,15 +348,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep_tex
         vocabulary = shared.value
         for batch in batches:
             for some in words.slices(batch, text):
-                found = words.normalised(words.texts(some, text))
-                leaf, keys = vocabulary.leaves(found)
+                found = words.keyed(words.texts(some, text))
+                leaf, keys = vocabulary.leaf(found), found.keys
+                counts = np.diff(found.starts)
                 given = pa.StructArray.from_arrays([some.column(some.schema.get_field_index(c)) for c in names], names=names) if names else pa.nulls(some.num_rows, pa.struct([]))
                 leaves = pa.Array.from_buffers(pa.binary(), some.num_rows, [None, pa.py_buffer((2 * found.starts).astype(np.int32)), pa.py_buffer(leaf.astype(np.uint16))])
                 other = np.flatnonzero(leaf >= len(vocabulary.known))
-                own, times = np.unique(found.docs()[other] * max(1, len(keys)) + found.ids[other], return_counts=True) if len(leaf) else (other, other)
+                own, times = np.unique(np.repeat(np.arange(some.num_rows), counts)[other] * max(1, len(keys)) + found.ids[other], return_counts=True) if len(leaf) else (other, other)
                 ends = np.searchsorted(own, np.arange(some.num_rows + 1) * max(1, len(keys)))
                 listed = pa.StructArray.from_arrays([pa.array(keys[own % max(1, len(keys))].view(np.int64)), pa.array(times, pa.int64())], fields=list(pair))
-                yield pa.RecordBatch.from_arrays([given, pa.array(found.counts, pa.int64()), leaves, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), listed)], names=["row", "n", "leaves", "others"])
+                yield pa.RecordBatch.from_arrays([given, pa.array(counts, pa.int64()), leaves, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), listed)], names=["row", "n", "leaves", "others"])
 
     others = T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("times", T.LongType())]))
     kind = T.StructType([T.StructField("row", T.StructType(rest)), T.StructField("n", T.LongType()), T.StructField("leaves", T.BinaryType()), T.StructField("others", others)])

@@ -34,6 +34,14 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.starts) - 1), self.counts)
 
 
+class Keyed(NamedTuple):
+    """Words of consecutive documents: the hashes of the distinct words, the index of each word among them, and where each document starts and the last ends."""
+
+    keys: np.ndarray
+    ids: np.ndarray
+    starts: np.ndarray
+
+
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about BYTES of text each."""
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
@@ -75,10 +83,20 @@ def bare(word: str) -> str:
     return plain if not plain or plain[0].isalnum() and plain[-1].isalnum() else EDGE.sub("", plain)
 
 
+def lines(held: pa.Array) -> pa.Scalar:
+    """All strings of an array as one, with a line break between them: cheaper to take apart in Python than the array."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held), pa.scalar("\n", held.type))[0]
+
+
 def bared(held: pa.Array) -> pa.Array:
     """``bare`` of each word; those of printable ASCII, which are most, are handled together."""
     plain = pc.ascii_is_printable(held)
-    other = [bare(w) for w in held.filter(pc.invert(plain)).to_pylist()]
+    rest = held.filter(pc.invert(plain))
+    low = lines(rest).as_py().lower().split("\n")  # a line break ends a word for lower() as the string's end does
+    if len(low) == len(rest):
+        other = [w if not w or w[0].isalnum() and w[-1].isalnum() else EDGE.sub("", w) for w in (w.strip(MARKS) for w in low)]
+    else:  # none, or some hold line breaks
+        other = [bare(w) for w in rest.to_pylist()]
     return pc.replace_with_mask(pc.ascii_trim(pc.ascii_lower(held), characters=MARKS), pc.invert(plain), pa.array(other, pa.string()))
 
 
@@ -95,6 +113,25 @@ def normalised(column: pa.Array) -> Words:
     return _merged(coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), starts)
 
 
+def keyed(column: pa.Array) -> Keyed:
+    """The words of ``normalised`` by their ``hashes``, without a list of them."""
+    lists = pc.utf8_split_whitespace(column)
+    coded = lists.flatten().dictionary_encode()
+    bare = bared(coded.dictionary).dictionary_encode()
+    found = lines(bare.dictionary).as_buffer().to_pybytes().split(b"\n") if len(bare.dictionary) else []
+    keys = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    ids = bare.indices.to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)]
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    empty = pc.index(bare.dictionary, pa.scalar("", bare.dictionary.type)).as_py()
+    if empty >= 0:
+        stays = ids != empty
+        starts = np.concatenate([[0], np.cumsum(stays)])[starts]
+        ids = ids[stays]
+        ids -= ids > empty
+        keys = np.delete(keys, empty)
+    return Keyed(keys, ids, starts)
+
+
 def _merged(distinct: pa.Array, ids: np.ndarray, starts: np.ndarray) -> Words:
     """Words whose bare forms are equal as one; empty ones go."""
     coded = bared(distinct).dictionary_encode()

@@ -96,6 +96,38 @@ def test_contexts_stay_within_documents():
     assert got.tolist() == [[edge, edge, 6, 7], [edge, 5, 7, edge], [5, 6, edge, edge], [edge] * 4]
 
 
+def test_rows_of_keys_are_summed_and_replaced():
+    r = np.random.default_rng(5)
+    for n, times in ((0, 1), (8, 4), (5000, 4), (1 << 16, 1), (70_000, 1), (80_000, 4)):
+        keys, rows = r.integers(0, 300, n).astype(np.uint16) * np.uint16(211), r.normal(0, 1, (n // times, lmscore.HIDDEN)).astype(np.float32)
+        used, total, often = lmscore.summed(keys, rows, times)
+        want = np.zeros((1 << 16, lmscore.HIDDEN))
+        np.add.at(want, keys, np.repeat(rows, times, axis=0))
+        assert used.tolist() == np.unique(keys).tolist() and often.tolist() == np.unique(keys, return_counts=True)[1].tolist()
+        assert np.allclose(total, want[used], atol=1e-3)
+        table = r.normal(0, 1, want.shape).astype(np.float32)
+        kept = table.copy()
+        lmscore.put(table, used, total)
+        kept[used] = total
+        assert (table == kept).all()
+
+
+def test_large_weights_of_classes_are_held_back():
+    _, _, network = small()
+    network.top[:] = 1000 * np.sign(network.top)
+    p, total = network.classes(network.state(np.zeros((3, 4), int)))
+    assert np.isfinite(p).all() and np.isfinite(total).all()
+
+
+def test_place_among_rows_hardly_changes_a_score():
+    counts, vocabulary, network = small()
+    r = np.random.default_rng(6)
+    leaf, context = r.integers(0, len(counts), 1000), r.integers(0, lmscore.INPUTS + 1, (1000, 4))
+    p = network.log_probabilities(context, leaf, vocabulary.tree)
+    for some in (np.arange(7), r.permutation(1000), r.permutation(1000)[:333]):
+        assert np.allclose(network.log_probabilities(context[some], leaf[some], vocabulary.tree), p[some], rtol=0, atol=5e-6)
+
+
 def test_cases(spark):
     schema = "doc_id long, text string, n_words int, row string, at map<string,int>, leaves int"
     docs = spark.createDataFrame([(1, None, 5, "r", {}, 0), (2, "", 5, None, None, 0), (3, "!!", 5, "r", {"a": 1}, 0), (4, "a b c", 5, "r", {}, 0), (4, "a b c", 5, "r", {}, 0), (None, "zz " * 200_000, 5, "r", {}, 0)], schema)

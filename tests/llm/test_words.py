@@ -24,3 +24,12 @@ def test_words_of_documents(texts):
         plain = [words.bare(w) for w in pa.compute.utf8_split_whitespace(pa.array([text]))[0].as_py()]
         assert [found.distinct[i] for i in found.ids[found.starts[k] : found.starts[k + 1]]] == [w for w in plain if w]
     assert (np.diff(found.starts) >= 0).all()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\r\x1c\x85aZ.-ΣςİßÉ“")), max_size=40)), max_size=6))
+def test_keyed_words_are_the_hashes_of_normalised_ones(texts):
+    column = pa.array([t or "" for t in texts], pa.string())
+    found, same = words.keyed(column), words.normalised(column)
+    assert found.starts.tolist() == same.starts.tolist() and found.keys.tolist() == words.hashes(same.distinct).tolist()
+    assert found.ids.tolist() == same.ids.tolist()
